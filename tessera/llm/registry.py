@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, token_counts
+from tessera.llm import bpe, html_text, language_id, token_counts, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_token_counts": token_counts.query,
+        "op3_html_text": html_text.query,
+        "op4_language_id": language_id.query,
+        "op5_toxicity": toxicity.query,
         "op10_bpe": bpe.query,
     }
 
