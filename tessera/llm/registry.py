@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, html_text, language_id, token_counts, toxicity
+from tessera.llm import bpe, html_text, language_id, token_counts, toxicity, vector_dedup, vector_search
 
 
 def queries() -> dict:
@@ -11,9 +11,11 @@ def queries() -> dict:
         "op3_html_text": html_text.query,
         "op4_language_id": language_id.query,
         "op5_toxicity": toxicity.query,
+        "op7_vector_search": vector_search.query,
+        "op9_vector_dedup": vector_dedup.query,
         "op10_bpe": bpe.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_vector_search": vector_search.SQL, "op9_vector_dedup": vector_dedup.SQL}
