@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, html_text, language_id, token_counts, toxicity, vector_dedup, vector_search
+from tessera.llm import bpe, html_text, language_id, near_text, token_counts, toxicity, vector_dedup, vector_search
 
 
 def queries() -> dict:
     return {
         "op1_token_counts": token_counts.query,
+        "op2_near_text": near_text.query,
         "op3_html_text": html_text.query,
         "op4_language_id": language_id.query,
         "op5_toxicity": toxicity.query,
@@ -18,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_vector_search": vector_search.SQL, "op9_vector_dedup": vector_dedup.SQL}
+    return {"op2_near_text": near_text.SQL, "op7_vector_search": vector_search.SQL, "op9_vector_dedup": vector_dedup.SQL}
