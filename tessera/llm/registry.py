@@ -1,8 +1,9 @@
-"""Queries of the operators of this subpackage; SQL where it can express them."""
+"""Queries of the operators of this subpackage and of the pipeline; SQL where it can express them."""
 
 from __future__ import annotations
 
-from tessera.llm import bpe, html_text, language_id, near_text, token_counts, toxicity, vector_dedup, vector_search
+import corpus_pipeline
+from tessera.llm import bpe, html_text, language_id, near_text, packing, substrings, token_counts, toxicity, vector_dedup, vector_search
 
 
 def queries() -> dict:
@@ -12,11 +13,15 @@ def queries() -> dict:
         "op3_html_text": html_text.query,
         "op4_language_id": language_id.query,
         "op5_toxicity": toxicity.query,
+        "op6_substrings": substrings.query,
         "op7_vector_search": vector_search.query,
+        "op8_packing": packing.query,
         "op9_vector_dedup": vector_dedup.query,
         "op10_bpe": bpe.query,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_near_text": near_text.SQL, "op7_vector_search": vector_search.SQL, "op9_vector_dedup": vector_dedup.SQL}
+    sql = {"op2_near_text": near_text.SQL, "op7_vector_search": vector_search.SQL, "op9_vector_dedup": vector_dedup.SQL}
+    return sql | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
