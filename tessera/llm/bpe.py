@@ -16,9 +16,12 @@ from __future__ import annotations
 import heapq
 import json
 import os
+import re
 import tempfile
+import uuid
 from collections import Counter
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +37,7 @@ LEXICON_BYTES = 32
 #: A task sends its words with this many occurrences at least; the sums over tasks rank the words.
 LEXICON_LEAST = 8
 #: Words whose results a Python worker remembers before it starts anew.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 600_000
 
 # The pattern that splits text before the merges, and the ranges of code points that newer
 # Unicode tables count as letters or numbers and the tokenizers library's tables do not.
@@ -50,6 +53,11 @@ NEWER = (
     "\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead\U000323b0-\U00033479\U0003d000-\U0003fc3f"
 )
 _SPLIT = regex.compile(PATTERN)
+#: PATTERN for texts of the first 256 code points alone, whose letters, numbers and white space are these.
+_SPLIT_LATIN = re.compile(
+    r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-zªµºÀ-ÖØ-öø-ÿ]+| ?[0-9²³¹¼-¾]+| ?[^\t-\r \x85\xa0A-Za-zªµºÀ-ÖØ-öø-ÿ0-9²³¹¼-¾]+"
+    r"|[\t-\r \x85\xa0]+(?![^\t-\r \x85\xa0])|[\t-\r \x85\xa0]+"
+)
 _NEWER = regex.compile(f"[{NEWER}]")
 _SPLIT_EXACT = regex.compile(
     rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d| ?[\p{{L}}--[{NEWER}]]+| ?[\p{{N}}--[{NEWER}]]+| ?(?:[^\s\p{{L}}\p{{N}}]|[{NEWER}])+|\s+(?!\S)|\s+"
@@ -230,7 +238,6 @@ class Coder:
     def __init__(self, tables: Tables, lexicon: Lexicon | None = None):
         self.tables, self.lexicon = tables, lexicon
         self.ids: dict[str, bytes] = {}
-        self.size: dict[str, int] = {}
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(tables.special, key=len, reverse=True))) + ")") if tables.special else None
 
     def pieces(self, text: str) -> list[str]:
@@ -241,8 +248,11 @@ class Coder:
 
     @staticmethod
     def words(text: str) -> list[str]:
-        found = _SPLIT.findall(text)
-        return _SPLIT_EXACT.findall(text) if not text.isascii() and _NEWER.search(text) else found
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return (_SPLIT_EXACT if _NEWER.search(text) else _SPLIT).findall(text)
+        return _SPLIT_LATIN.findall(text)
 
     def learn(self, pieces: set[str]) -> None:
         """Puts pieces in the memo: by the transducer, else by merging."""
@@ -264,12 +274,13 @@ class Coder:
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         pieces = [self.pieces(t) if t else [] for t in texts]
-        unseen = {p for own in pieces for p in own if p not in self.ids}
+        distinct = set(chain.from_iterable(pieces))
+        unseen = distinct.difference(self.ids)
         if unseen:
             known = len(self.ids)
             self.learn(unseen)
             if len(self.ids) < known + len(unseen):  # the memo began anew
-                self.learn({p for own in pieces for p in own})
+                self.learn(distinct)
         get = self.ids.__getitem__
         return [b"".join(map(get, own)) for own in pieces]
 
@@ -277,6 +288,18 @@ class Coder:
         return b"".join(map(self.tables.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
+_CODERS: dict[str, Coder] = {}
+
+
+def coder_of(shared) -> Coder:
+    """This worker's coder for a broadcast: its memo lives on from task to task."""
+    name, tables, head, body = shared.value
+    if name not in _CODERS:
+        _CODERS.clear()
+        _CODERS[name] = Coder(tables, Lexicon.mapped(head, body))
+    return _CODERS[name]
+
+
 def frequent_words(docs: DataFrame, column: str = "text", least: int = LEXICON_LEAST, most: int = LEXICON_WORDS) -> list[str]:
     """The corpus's most frequent pre-tokens: words between spaces that are one pre-token with the space
     before them.  Every task counts all its texts and adds up what it sends; the sums over tasks rank."""
@@ -287,7 +310,7 @@ def frequent_words(docs: DataFrame, column: str = "text", least: int = LEXICON_L
             for text in part.column(column).to_pylist():
                 if text:
                     total.update(text.split(" "))
-            if len(total) > 2 * MEMO_WORDS:  # what is rare in 300,000 words is let go, as it can't rank
+            if len(total) > 2 * MEMO_WORDS:  # what is rare among so many words is let go, as it can't rank
                 total = Counter({w: n for w, n in total.items() if n >= least})
         rows = [(" " + w, n) for w, n in total.items() if n >= least and 0 < len(w) < LEXICON_BYTES]
         rows = [(w, n) for w, n in rows if len(w.encode()) <= LEXICON_BYTES and len(Coder.words(w)) == 1]
@@ -312,15 +335,14 @@ def encode_decode(docs: DataFrame, path: str, column: str = "text", out: str = "
     spark = docs.sparkSession
     tables = Tables(path)
     compiled = compiled_lexicon(tables, frequent_words(docs, column) if lexicon else [])
-    shared = spark.sparkContext.broadcast((tables, *compiled.dumped()))
+    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, tables, *compiled.dumped()))
     names = [x.split()[0] for x in out.split(", ")]
     kept = [f for f in docs.schema.fields if f.name != column and f.name not in names]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), out])
     keep = [f.name for f in kept]
 
     def run(batches):
-        own, head, body = shared.value
-        coder = Coder(own, Lexicon.mapped(head, body))
+        coder = coder_of(shared)
         for part in slices(batches, column):
             ids = coder.encode_all(part.column(column).to_pylist())
             made = {"ids": lambda ids=ids: pa.array(ids, pa.binary()), "n_tokens": lambda ids=ids: pa.array([len(x) // 4 for x in ids], pa.int64()), "ids_sha256": lambda ids=ids: pa.array([sha256(x).hexdigest() for x in ids])}

@@ -15,6 +15,8 @@ through, and one named n_tokens is replaced.
 
 from __future__ import annotations
 
+import uuid
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -91,16 +93,28 @@ class Counter:
         return sum(map(memo.__getitem__, words))
 
 
+_COUNTERS: dict[str, Counter] = {}
+
+
+def counter_of(shared) -> Counter:
+    """This worker's counter for a broadcast: its memo lives on from task to task."""
+    name, pieces = shared.value
+    if name not in _COUNTERS:
+        _COUNTERS.clear()
+        _COUNTERS[name] = Counter(pieces)
+    return _COUNTERS[name]
+
+
 def token_counts(docs: DataFrame, pieces: list[tuple[str, float]], column: str = "text") -> DataFrame:
     """docs' columns but the text's, and n_tokens long.  pieces: vocabulary entries with their scores by id
     (bounded: a tokenizer's), broadcast to the workers."""
-    shared = docs.sparkSession.sparkContext.broadcast(pieces)
+    shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, pieces))
     kept = [f for f in docs.schema.fields if f.name not in (column, "n_tokens")]
     keep = [f.name for f in kept]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "n_tokens long"])
 
     def run(batches):
-        counter = Counter(shared.value)
+        counter = counter_of(shared)
         for part in slices(batches, column):
             n = [counter.text(t) for t in part.column(column).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array(n, pa.int64())], [*keep, "n_tokens"])
