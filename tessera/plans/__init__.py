@@ -3,7 +3,7 @@
 from importlib import import_module
 
 #: Modules of this package that hold queries.
-GROUPS = ()
+GROUPS = ("text", "postings")
 
 
 def load() -> None:
