@@ -3,7 +3,7 @@
 from importlib import import_module
 
 #: Modules of this package that hold queries.
-GROUPS = ("text", "postings")
+GROUPS = ("text", "postings", "relational", "entities")
 
 
 def load() -> None:
