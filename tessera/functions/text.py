@@ -157,6 +157,8 @@ def topics(toks: Column | str, groups=L.TOPICS) -> Column:
 def first_class(text: Column | str, ladder, default: str | None = None) -> Column:
     """The name of the first (name, words) of a ladder of which a word occurs."""
     t = col(text)
+    if not ladder:
+        return F.lit(default)
     out = reduce(lambda acc, x: acc.when(reduce(lambda a, b: a | b, [F.contains(t, F.lit(w)) for w in x[1]]), F.lit(x[0])), ladder, F.when(t.isNull(), F.lit(default)))
     return out.otherwise(F.lit(default))
 
