@@ -63,42 +63,51 @@ def split_words(text: Column | str, pattern: str = "\\s+", least: int = 1) -> Co
     return F.array_distinct(F.filter(F.split(col(text), pattern), lambda w: F.length(w) >= least))
 
 
+def bound(value: Column, use) -> Column:
+    """use(x) with x standing for value, which is computed once however often use names it."""
+    return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))
+
+
 def light_stem(word: Column | str, prefixes=L.PREFIXES, suffixes=L.SUFFIXES, normal: bool = True) -> Column:
     """One longest prefix off, then one longest suffix, each leaving two characters; words of three stay."""
-    w = normalised(word) if normal else col(word)
 
-    def off(x: Column, affixes, front: bool) -> Column:
+    def off(x: Column, affixes: list[str], front: bool) -> Column:
         out = F.when(F.length(x) <= 3, x)
         for a in sorted(affixes, key=lambda a: (-len(a), affixes.index(a))):
             fits = (x.startswith(a) if front else x.endswith(a)) & (F.length(x) - len(a) >= 2)
             out = out.when(fits, F.substr(x, F.lit(len(a) + 1)) if front else F.substr(x, F.lit(1), F.length(x) - len(a)))
         return out.otherwise(x)
 
-    return off(off(w, list(prefixes), True), list(suffixes), False)
+    stemmed = lambda w: bound(off(w, list(prefixes), True), lambda x: off(x, list(suffixes), False))
+    return bound(normalised(word) if normal else col(word), stemmed)
 
 
 def root_candidates(word: Column | str, geminate: bool = True) -> Column:
     """Spellings under which a word's root may be listed, best first: itself, its stem, without the article,
     weak last letters replaced, and two-letter stems doubled."""
-    norm = normalised(word)
-    stem = light_stem(norm)
-    bare = F.when(norm.startswith("ال"), F.substr(norm, F.lit(3))).otherwise(norm)
-    stem2 = light_stem(bare)
     cut = lambda x: F.substr(x, F.lit(1), F.length(x) - 1)
     double = lambda x: F.when(F.length(x) == 2, F.concat(x, F.substr(x, F.lit(2), F.lit(1))))
-    out = [norm, stem, bare, stem2]
-    for base in (stem2, stem, bare):
-        trimmed = F.when(base.endswith("ء"), cut(base))
-        ts = light_stem(trimmed)
-        out += [trimmed, ts, F.when(ts.endswith("ا"), F.concat(cut(ts), F.lit("و"))), F.when(ts.endswith("ا"), F.concat(cut(ts), F.lit("ي")))]
-        if geminate:
-            out.append(double(ts))
-        out += [F.when(base.endswith("ا"), F.concat(cut(base), F.lit("و")))]
-        out += [F.when(base.endswith("ه"), x) for x in (F.concat(cut(base), F.lit("و")), F.concat(cut(base), F.lit("ي")), cut(base))]
-        out += [F.when(base.endswith("ي"), F.concat(cut(base), F.lit("و")))]
-    if geminate:
-        out += [double(base) for base in (stem2, stem, bare)]
-    return F.array_distinct(F.filter(F.array(*out), lambda w: w.isNotNull() & (F.length(w) > 0)))
+    ends = lambda x, letter, new: F.when(x.endswith(letter), F.concat(cut(x), F.lit(new)))
+
+    def weak(base: Column) -> Column:
+        def after_hamza(trimmed: Column) -> Column:
+            return bound(light_stem(trimmed, normal=False), lambda ts: F.array(trimmed, ts, ends(ts, "ا", "و"), ends(ts, "ا", "ي"), double(ts) if geminate else F.lit(None).cast("string")))
+
+        others = F.array(ends(base, "ا", "و"), ends(base, "ه", "و"), ends(base, "ه", "ي"), ends(base, "ه", ""), ends(base, "ي", "و"))
+        return F.concat(F.coalesce(bound(F.when(base.endswith("ء"), cut(base)), after_hamza), F.array().cast("array<string>")), others)
+
+    def ways(norm: Column) -> Column:
+        bare = F.when(norm.startswith("ال"), F.substr(norm, F.lit(3))).otherwise(norm)
+        bases = bound(bare, lambda b: F.array(light_stem(b, normal=False), light_stem(norm, normal=False), b))
+
+        def listed(x: Column) -> Column:
+            first = F.array(norm, F.get(x, F.lit(1)), F.get(x, F.lit(2)), F.get(x, F.lit(0)))
+            last = F.transform(x, lambda b: double(b)) if geminate else F.array().cast("array<string>")
+            return F.concat(first, F.flatten(F.transform(x, lambda b: weak(b))), last)
+
+        return bound(bases, listed)
+
+    return F.array_distinct(F.filter(bound(normalised(word), ways), lambda w: w.isNotNull() & (F.length(w) > 0)))
 
 
 def first_of(*columns: Column | str) -> Column:
@@ -150,7 +159,7 @@ def markers(text: Column | str, groups=L.CIRCUMSTANCES) -> Column:
 def topics(toks: Column | str, groups=L.TOPICS) -> Column:
     """Sorted distinct topics of tokens: by the token or its light stem."""
     table = F.create_map(*[F.lit(x) for k, ws in groups.items() for w in ws for x in (_normal(w), k)])
-    found = F.flatten(F.transform(col(toks), lambda w: F.array(table[w], table[light_stem(w)])))
+    found = F.flatten(F.transform(col(toks), lambda w: F.array(table[w], table[light_stem(w, normal=False)])))
     return F.array_sort(F.array_distinct(F.array_compact(found)))
 
 
