@@ -10,7 +10,7 @@ A document is the set of its distinct k-word shingles as 64-bit hashes.  Two doc
    the first n - ceil(t n) + SHARED of that order.
 3. Those first shingles make tiles: the classes that hold one shingle there, sorted by size; a class meets
    only the band of sizes that can link with its own.
-4. Tiles of BIG classes and more, by the first two shingles of each class, are linked inside, in blocks of
+4. Tiles of BIG classes and more, the first INNER such of each class, are linked inside, in blocks of
    BLOCK classes: bitmap signatures bound each overlap from above, what passes is intersected exactly, and
    classes that are already connected are not compared again.  So a large group of near copies becomes one
    component before pairs are made.
@@ -28,10 +28,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import M1, by_ids, mixed, shingles, slices, text_bytes, word_hashes, written
+from tessera.llm.common import M1, binary, by_ids, mixed, shingles, slices, text_bytes, word_hashes, written
 from tessera.llm.graphs import Forest, components
 
 #: Most frequent shingles whose rank is broadcast (16 bytes each), and the count in a task from which they're reported.
@@ -39,11 +39,13 @@ HEAVY = 1 << 18
 LOCAL = 3
 #: Shingles that a pair must share among its first ones.
 SHARED = 4
-#: Classes from which a tile is linked inside first, and classes of such a block.
-BIG = 16
-BLOCK = 2048
+#: Classes from which a tile is big, and classes of a block of it.
+BIG = 64
+BLOCK = 4096
+#: Such tiles of each class, its first ones.
+INNER = 2
 #: Shingles that a task counts before it reports.
-COUNTED = 4_000_000
+COUNTED = 1_500_000
 
 
 def sets_of(part: pa.RecordBatch, column: str, k: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -229,16 +231,18 @@ def link_block(sets: list[np.ndarray], t: int) -> list[tuple[int, int]]:
 
 
 def arrays(docs: DataFrame, reps: DataFrame, digests: DataFrame, key: str, column: str, k: int) -> DataFrame:
-    """(digest, n, members) of the given classes: members are the sorted shingles' bytes."""
-    ids = reps.join(digests, ["digest", "n"], "left_semi").select(F.col("rep").alias("id")).distinct()
-    own = by_ids(docs.select(F.col(key).cast("long").alias("id"), F.col(column)), written(ids, "reps"), "id", "left_semi")
+    """(digest, n, members, bits) of the given classes: the sorted shingles' bytes and the bitmap signature's."""
+    ids = written(reps.join(digests, ["digest", "n"], "left_semi").select("digest", "n", F.col("rep").alias("id")), "reps")
+    own = by_ids(docs.select(F.col(key).cast("long").alias("id"), F.col(column)), ids.select("id").distinct(), "id", "left_semi")
 
     def run(batches):
         for part in slices(batches, column):
             sets, digests = sets_of(part, column, k)
-            yield pa.RecordBatch.from_arrays([pa.array(digests), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["digest", "n", "members"])
+            bits = [bitmaps([s], width(len(s))).tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(digests), pa.array([len(s) for s in sets], pa.int64()), binary([s.tobytes() for s in sets]), binary(bits)], ["digest", "n", "members", "bits"])
 
-    return own.select(column).mapInArrow(run, "digest long, n long, members binary").dropDuplicates(["digest", "n"])
+    made = own.select(column).mapInArrow(run, "digest long, n long, members binary, bits binary")
+    return made.dropDuplicates(["digest", "n"])  # an id may have several texts
 
 
 def _members(x: bytes) -> np.ndarray:
@@ -246,7 +250,7 @@ def _members(x: bytes) -> np.ndarray:
 
 
 def inner_links(big: DataFrame, sets: DataFrame, t: int) -> DataFrame:
-    """(a, na, b, nb) links within blocks of big tiles."""
+    """(a, na, b, nb) links that connect all linked classes of a block; big is (tile, digest, n), tile naming the block."""
 
     def run(batches):
         for table in runs_of(batches, "tile"):
@@ -261,19 +265,24 @@ def inner_links(big: DataFrame, sets: DataFrame, t: int) -> DataFrame:
                 i, j = (np.array(x) for x in zip(*found, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (digest[i], n[i], digest[j], n[j])], ["a", "na", "b", "nb"])
 
-    blocks = big.select(F.xxhash64("token", F.pmod(F.xxhash64("digest"), F.ceil(F.col("m") / BLOCK))).alias("tile"), "digest", "n").distinct()
-    full = blocks.join(sets, ["digest", "n"]).select("tile", "digest", "n", "members")
+    full = big.join(sets, ["digest", "n"]).select("tile", "digest", "n", "members")
     return full.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "a long, na long, b long, nb long")
 
 
 def candidates(tiled: DataFrame, t: int) -> DataFrame:
-    """(a, na, b, nb) pairs of classes of different components that share enough tiles; tiled has component."""
+    """(a, na, b, nb) pairs of classes that share enough tiles, are of different components and in no block together,
+    as all pairs of a block have been compared.  tiled has component and blocks (INNER of them, nulls where fewer)."""
 
     def run(batches):
         for table in runs_of(batches, "token"):
             token, n, digest, component = (np.asarray(table[c]) for c in ("token", "n", "digest", "component"))
+            # a missing block is a number of its own, so that it equals none
+            none = -1 - np.arange(len(token) * INNER, dtype=np.int64).reshape(-1, INNER)
+            own = np.stack([np.asarray(table[f"block{c}"].fill_null(0)) for c in range(INNER)], axis=1)
+            own = np.where(own == 0, none, own)
             order = np.lexsort((digest, n, token))
-            token, n, digest, component = token[order], n[order], digest[order], component[order]
+            token, n, digest, component, own = token[order], n[order], digest[order], component[order], own[order]
+            in_block = (own > 0).any(axis=1)
             begin = [*np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])).tolist(), len(token)]
             left, right, held = [], [], 0
             for a, b in zip(begin, begin[1:], strict=False):
@@ -283,6 +292,8 @@ def candidates(tiled: DataFrame, t: int) -> DataFrame:
                 for i in range(a, b - 1):
                     j = np.arange(i + 1, int(ends[i - a]))
                     j = j[component[j] != component[i]]
+                    if in_block[i] and len(j):
+                        j = j[~(own[j][:, :, None] == own[i][None, None, :]).any(axis=(1, 2))]
                     if len(j):
                         left.append(np.full(len(j), i))
                         right.append(j)
@@ -304,24 +315,50 @@ def candidates(tiled: DataFrame, t: int) -> DataFrame:
     return pairs.groupBy("a", "na", "b", "nb").agg(F.count("*").alias("shared")).where(F.col("shared") >= need).drop("shared")
 
 
-def checked(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
-    """The linked ones of pairs."""
-    x = sets.select(F.col("digest").alias("a"), F.col("n").alias("na"), F.col("members").alias("ma"))
-    y = sets.select(F.col("digest").alias("b"), F.col("n").alias("nb"), F.col("members").alias("mb"))
+def _folded(bits: list[bytes], size: int) -> np.ndarray:
+    """Bitmaps of one width as rows of 64-bit words, folded to a width of size bits."""
+    x = np.frombuffer(b"".join(bits), np.uint64).reshape(len(bits), -1, size // 64)
+    return np.bitwise_or.reduce(x, axis=1)
+
+
+def _joined(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    x = sets.select(F.col("digest").alias("a"), F.col("n").alias("na"), F.col(column).alias("x"))
+    y = sets.select(F.col("digest").alias("b"), F.col("n").alias("nb"), F.col(column).alias("y"))
+    return pairs.join(x, ["a", "na"]).join(y, ["b", "nb"]).select("a", "na", "b", "nb", "x", "y")
+
+
+def possible(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
+    """The pairs whose bitmaps let them be linked; a wider bitmap is folded to the width of the other."""
 
     def run(batches):
-        for part in slices(batches, "ma", 8 << 20):
-            left = [_members(m) for m in part.column("ma").to_pylist()]
-            right = [_members(m) for m in part.column("mb").to_pylist()]
-            na, nb = np.asarray(part.column("na")), np.asarray(part.column("nb"))
-            size = width(int(max(na.max(), nb.max())))
-            ok = linked(bound(bitmaps(left, size), na, bitmaps(right, size), nb), na, nb, t)
-            ok[ok] = [linked(overlap(left[i], right[i]), int(na[i]), int(nb[i]), t) for i in np.flatnonzero(ok)]
+        for batch in batches:
+            x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
+            na, nb = np.asarray(batch.column("na")), np.asarray(batch.column("nb"))
+            wx, wy = np.array([len(v) for v in x], np.int64), np.array([len(v) for v in y], np.int64)
+            ok = np.zeros(len(x), bool)
+            for shape in np.unique(np.stack([wx, wy], axis=1), axis=0) if len(x) else ():
+                rows = np.flatnonzero((wx == shape[0]) & (wy == shape[1]))
+                size = 8 * int(shape.min())
+                left, right = _folded([x[i] for i in rows], size), _folded([y[i] for i in rows], size)
+                ok[rows] = linked(bound(left, na[rows], right, nb[rows]), na[rows], nb[rows], t)
             if ok.any():
+                yield batch.filter(pa.array(ok)).select(["a", "na", "b", "nb"])
+
+    return _joined(pairs, sets, "bits").mapInArrow(run, "a long, na long, b long, nb long")
+
+
+def checked(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
+    """The linked ones of pairs, by exact intersection."""
+
+    def run(batches):
+        for part in slices(batches, "x"):
+            left, right = part.column("x").to_pylist(), part.column("y").to_pylist()
+            na, nb = part.column("na").to_pylist(), part.column("nb").to_pylist()
+            ok = [bool(linked(overlap(_members(x), _members(y)), n, m, t)) for x, y, n, m in zip(left, right, na, nb, strict=True)]
+            if any(ok):
                 yield part.filter(pa.array(ok)).select(["a", "na", "b", "nb"])
 
-    full = pairs.join(x, ["a", "na"]).join(y, ["b", "nb"]).select("a", "na", "b", "nb", "ma", "mb")
-    return full.mapInArrow(run, "a long, na long, b long, nb long")
+    return _joined(pairs, sets, "members").mapInArrow(run, "a long, na long, b long, nb long")
 
 
 def near_copies(docs: DataFrame, k: int = 4, t: int = 85, key: str = "doc_id", column: str = "text") -> DataFrame:
@@ -332,14 +369,21 @@ def near_copies(docs: DataFrame, k: int = 4, t: int = 85, key: str = "doc_id", c
     node = lambda d, n: F.struct(F.col(d).alias("d"), F.col(n).alias("n"))
     edge = lambda df: df.select(node("a", "na").alias("a"), node("b", "nb").alias("b"))
 
-    big = tiled.where((F.col("m") >= BIG) & (F.col("pos") < 2))
+    # each class's first big tiles in the global order: near copies mostly have the same ones
+    own_order = Window.partitionBy("digest", "n").orderBy("pos")
+    salt = F.pmod(F.xxhash64("digest"), F.ceil(F.col("m") / BLOCK))
+    block = F.shiftrightunsigned(F.xxhash64("token", salt), 1) + F.lit(1)  # above 0
+    big = tiled.where(F.col("m") >= BIG).withColumn("i", F.row_number().over(own_order)).where(F.col("i") <= INNER)
+    big = written(big.select(block.alias("tile"), "digest", "n", "i"), "big")
     inner = written(inner_links(big, arrays(docs, reps, big.select("digest", "n").distinct(), key, column, k), t), "inner")
     known = components(edge(inner), "inner-links").select(F.col("node.d").alias("digest"), F.col("node.n").alias("n"), F.xxhash64("component.d", "component.n").alias("known"))
-    own = tiled.join(known, ["digest", "n"], "left").select("token", "digest", "n", F.coalesce("known", F.xxhash64("digest", "n")).alias("component"))
+    blocks = big.groupBy("digest", "n").agg(*[F.max(F.when(F.col("i") == c + 1, F.col("tile"))).alias(f"block{c}") for c in range(INNER)])
+    facts = written(blocks.join(known, ["digest", "n"], "left"), "facts")
+    own = tiled.select("token", "digest", "n").join(facts, ["digest", "n"], "left").withColumn("component", F.coalesce("known", F.xxhash64("digest", "n")))
     pairs = written(candidates(own, t), "pairs")
     ends = pairs.select(F.col("a").alias("digest"), F.col("na").alias("n")).union(pairs.select("b", "nb")).distinct()
     sets = written(arrays(docs, reps, ends, key, column, k), "sets")
-    links = inner.unionByName(checked(pairs, sets, t))
+    links = inner.unionByName(checked(written(possible(pairs, sets, t), "possible"), sets, t))
 
     # components by class, named by their least document, then by document: one id may have several texts
     whole = components(edge(links), "class-links").select(F.col("node.d").alias("digest"), F.col("node.n").alias("n"), F.col("component").alias("c"))
