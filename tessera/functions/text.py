@@ -217,11 +217,6 @@ def clean_name(text: Column | str) -> Column:
     return F.trim(F.regexp_replace(out, "\\s+", " "))
 
 
-def compound_abd(name: Column | str, heads=("عبيد", "عبد")) -> Column:
-    """Joins a leading servant-of with the word that completes it."""
-    return F.regexp_replace(col(name), f"^({'|'.join(heads)})\\s+(?:ال)?(\\S+)", "$1 ال$2")
-
-
 def truncated(text: Column | str, patterns, after: int = 5) -> Column:
     """Text up to the earliest pattern that begins after so many characters."""
     t = col(text)

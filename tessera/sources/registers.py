@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import lexicon as L
+from tessera.functions import names as N
 from tessera.functions import text as T
 from tessera.functions.numbers import years
 from tessera.sources import markup
@@ -37,7 +38,7 @@ def parsed(texts: DataFrame, source: Source) -> DataFrame:
     body = F.regexp_replace(F.regexp_extract("entry", f"(?s)^{source.begin}(.*)$", 3), "\\s+", " ")
     at = rows.select(F.regexp_extract("entry", source.begin, 1).try_cast("long").alias("id"), F.trim(F.concat_ws(" ", F.regexp_extract("entry", source.begin, 2), body)).alias("text"))
     head = F.regexp_extract("text", "^(.*?)(?:" + "|".join(source.cuts) + "|$)", 1)
-    name = T.compound_abd(T.clean_name(head))
+    name = N.register_name(head)
     refers = F.col("text").rlike("|".join(source.references)) & (F.length("text") < 60)
     graded = T.first_class(F.substring("text", 1, source.read), source.ladder, source.default)
     companion = F.substring("text", 1, 300).rlike("|".join(source.companions))
