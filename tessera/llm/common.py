@@ -7,6 +7,8 @@ than that makes a slice of its own.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text in one slice.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Rows of 8-byte ids up to which a semi or anti join broadcasts them (16 MB); beyond, it shuffles.
 BROADCAST_IDS = 1_000_000
 
@@ -71,6 +73,13 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return at - at[0], raw[at[0] : at[-1]]
 
 
+def trimmed() -> None:
+    """Hands a worker's freed memory back to the system, as workers live on from task to task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches again, cut so that column holds about size bytes in each, or one text."""
     for batch in batches:
@@ -82,6 +91,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
             last = max(first + 1, int(np.searchsorted(at, at[first] + size, "right")) - 1)
             yield batch.slice(first, last - first)
             first = last
+        trimmed()
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

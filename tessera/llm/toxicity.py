@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import M1, PUNCTUATION, held_out, mixed, slices, text_bytes, word_hashes
+from tessera.llm.common import M1, PUNCTUATION, held_out, mixed, slices, text_bytes, trimmed, word_hashes
 
 #: Bound of what is fitted on.
 SAMPLE_ROWS = 16_000
-BITS = 22
+BITS = 21
 EPOCHS = 4
 THRESHOLD = 0.3
 #: Rates and penalties.
@@ -114,9 +114,15 @@ def fitted(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, key: str
             yield pa.RecordBatch.from_arrays([part.column("k"), part.column("y"), pa.array(found, pa.binary())], ["k", "y", "f"])
 
     def train(batches):
-        rows = [(zlib.crc32(k.encode()), k, f, y) for batch in batches for k, y, f in zip(*(batch.column(c).to_pylist() for c in ("k", "y", "f")), strict=True)]
-        rows.sort()
-        model = trained([(np.frombuffer(f, "<i4"), int(y > 0)) for _, _, f, y in rows])
+        rows = []
+        for batch in batches:
+            at, raw = text_bytes(batch.column("f"))
+            for i, (k, y) in enumerate(zip(batch.column("k").to_pylist(), batch.column("y").to_pylist(), strict=True)):
+                rows.append((zlib.crc32(k.encode()), k, len(rows), raw[at[i] : at[i + 1]].view("<i4"), int(y > 0)))
+        rows.sort(key=lambda r: r[:3])
+        model = trained([r[3:] for r in rows])
+        del rows
+        trimmed()
         yield pa.RecordBatch.from_arrays([pa.array([model.index.astype("<i8").tobytes()]), pa.array([model.weight.tobytes()]), pa.array([float(model.bias)])], ["i", "w", "bias"])
 
     made = both.select(F.col(key).cast("string").alias("k"), F.col("y").cast("int").alias("y"), "text").mapInArrow(run, "k string, y int, f binary")
