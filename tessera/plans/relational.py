@@ -290,3 +290,24 @@ def coverage(spark, sf):
     pct = 100.0 * F.col("labelled") / F.nullif(F.col("n"), F.lit(0))
     note = F.when((pct < 40) & (F.col("n") > 20), "low").when(F.col("toxic") > 5, "toxic").otherwise("ok")
     return out.select("source", "n", "labelled", F.round(pct, 6).alias("pct"), note.alias("note"), F.when(F.col("toxic") > 0, half_up(F.col("labelled") / F.nullif(F.col("toxic"), F.lit(0)))).alias("ratio"))
+
+
+@register("io_roundtrip", "SELECT n_regionkey AS k, count(*) AS n, min(n_name) AS first_name, CAST(sum(n_nationkey) AS BIGINT) AS total FROM nation GROUP BY n_regionkey")
+def io_roundtrip(spark, sf):
+    """The nations through every sink and back: Parquet by part, JSON, CSV, and an atomic replacement."""
+    import uuid
+
+    from tessera.operators.graph import shared_dir
+    from tessera.sources import sinks
+
+    at = f"{shared_dir(spark).rstrip('/')}/tessera-roundtrip-{uuid.uuid4().hex}"
+    nation = table(spark, sf, "nation")
+    kinds = "n_nationkey int, n_name string, n_regionkey int"
+    sinks.partitioned(nation, f"{at}/parts", "n_regionkey")
+    back = spark.read.parquet(f"{at}/parts").select("n_nationkey", "n_name", F.col("n_regionkey").cast("int").alias("n_regionkey"))
+    sinks.json_lines(back, f"{at}/json")
+    back = spark.read.schema(kinds).json(f"{at}/json")
+    sinks.csv_union([back], f"{at}/csv", "n_nationkey")
+    back = spark.read.schema(kinds).csv(f"{at}/csv", header=True)
+    sinks.replaced(back, f"{at}/table")
+    return spark.read.parquet(f"{at}/table").groupBy(F.col("n_regionkey").alias("k")).agg(F.count("*").alias("n"), F.min("n_name").alias("first_name"), F.sum("n_nationkey").alias("total"))

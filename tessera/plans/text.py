@@ -170,3 +170,14 @@ def name_validity(spark, sf):
     heads = table(spark, sf, "documents", "text").select(F.lit("term").alias("kind"), F.explode(F.split(F.substring("text", 1, 200), "[ \\n]+")).alias("name"))
     names = table(spark, sf, "part").select(F.lit("part").alias("kind"), F.col("p_name").alias("name")).union(table(spark, sf, "customer").select(F.lit("customer"), "c_name")).union(heads)
     return names.groupBy("kind", T.valid_name("name").alias("valid"), (F.size(T.artifacts({"name": F.col("name")}, ("ing",))) > 0).alias("artifact")).agg(F.count("*").alias("n"))
+
+
+#: Phrases that name a year of death, in digits and in words, with the years they name.
+YEAR_PHRASES = (("مات سنة 197", 197), ("توفي سنة ست وعشرين ومائة", 126), ("مات سنة خمس عشرة", 15), ("قتل سنة ثلاثمائة", 300), ("لا سنة له", None), ("مات سنة تسع وتسعين بمكة", 99))
+
+
+@register("fn_year_words", "WITH t(i, year) AS (VALUES " + ", ".join(f"({i}, {'NULL' if y is None else y})" for i, (_, y) in enumerate(YEAR_PHRASES)) + ") SELECT year, count(*) AS n FROM (SELECT CAST(doc_id % 6 AS INTEGER) AS i FROM documents) d JOIN t USING (i) GROUP BY year")
+def year_words(spark, sf):
+    phrases = F.array(*[F.lit(p) for p, _ in YEAR_PHRASES])
+    told = table(spark, sf, "documents", "doc_id").select(F.get(phrases, (F.col("doc_id") % 6).cast("int")).alias("t"))
+    return told.groupBy("t").agg(F.count("*").alias("n")).select(N.years("t").alias("year"), "n")
