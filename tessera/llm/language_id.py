@@ -48,7 +48,7 @@ def is_letter() -> np.ndarray:
 class Automaton:
     """Suffix automaton of a sequence of classes as a total transition table.
 
-    table[state * width + c] = next state * width * 2 + (1 if a phrase ends before c).
+    table[state * width + c] = next state * width * 2 + (1 if a phrase begins with c); start is the state before a text.
     """
 
     def __init__(self, codes: list[int], width: int):
@@ -77,16 +77,16 @@ class Automaton:
                         p = link[p]
                     link[q] = link[new] = twin
             last = new
-        n = len(follow)
-        table = np.full((n, width), -1, np.int64)
+        n = len(follow)  # also the state between phrases, after a letter that doesn't occur
+        table = np.full((n + 1, width), -1, np.int64)
         for s, edges in enumerate(follow):
             for c, t in edges.items():
                 table[s, c] = t
-        root = np.where(table[0] >= 0, table[0], 0)
-        out = np.where(table >= 0, table * width * 2, root[None, :] * width * 2 + 1)
-        out[0, table[0] < 0] = 1  # an unknown letter at the start of a phrase is a phrase
-        out[:, PAD] = np.arange(n) * width * 2
-        self.table = out.astype(np.int32 if n * width * 2 < 2**31 else np.int64).ravel()
+        fresh = np.where(table[0] >= 0, table[0], n) * width * 2 + 1  # where a phrase that begins with c leads
+        out = np.where(table >= 0, table * width * 2, fresh[None, :])
+        out[:, PAD] = np.arange(n + 1) * width * 2
+        self.start = n * width
+        self.table = out.astype(np.int32 if (n + 1) * width * 2 < 2**31 else np.int64).ravel()
 
 
 class Model:
@@ -144,13 +144,13 @@ class Model:
         of = np.repeat(np.arange(len(texts)), lanes)
         out = np.zeros((len(texts), len(self.languages)), np.int64)
         for j, a in enumerate(self.automata):
-            state = np.zeros(steps.shape[1], a.table.dtype)
-            ends = np.ones(steps.shape[1], np.int32)
+            state = np.full(steps.shape[1], a.start, a.table.dtype)
+            begun = np.zeros(steps.shape[1], np.int32)
             for row in steps:
                 value = a.table.take(state + row)
-                ends += value & 1
+                begun += value & 1
                 state = value >> 1
-            out[:, j] = np.bincount(of, ends, minlength=len(texts)).astype(np.int64)
+            out[:, j] = np.bincount(of, begun, minlength=len(texts)).astype(np.int64)
         return out, lettered
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -169,14 +169,16 @@ class Model:
 def fitted(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model:
     """Model of labelled rows that aren't held out; the first rows of each language by a hash of the key."""
     learnt = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull() & ~held_out(key))
+    counts = learnt.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    if not counts:
+        return Model({}, chars)
+    names = sorted(r.lang for r in counts)
+    # of each language a slice of the hash's range that holds about twice the bound, then the bound itself
+    part = F.create_map(*[x for r in counts for x in (F.lit(r.lang), F.lit(int((1 << 30) * min(1.0, 2 * rows / r.n))))])
+    sliced = learnt.where(F.col(lang).isin(names) & (F.pmod(F.xxhash64(key), F.lit(1 << 30)) <= part[F.col(lang)]))
     order = Window.partitionBy("lang").orderBy("h", "k")
-    picked = (
-        learnt.select(F.col(lang).alias("lang"), F.xxhash64(key).alias("h"), F.col(key).alias("k"))
-        .withColumn("n", F.row_number().over(order))
-        .where(F.col("n") <= rows)
-    )
-    names = [r.lang for r in picked.select("lang").distinct().orderBy("lang").limit(LANGUAGES).collect()]
-    ids = picked.where(F.col("lang").isin(names)).select("k").distinct()  # at most rows * LANGUAGES
+    picked = sliced.select(F.col(lang).alias("lang"), F.xxhash64(key).alias("h"), F.col(key).alias("k")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows)
+    ids = picked.select("k").distinct()  # at most rows * LANGUAGES
     texts: dict[str, list[str]] = {}
     used: dict[str, int] = {}
     found = learnt.select(F.col(key).alias("k"), F.col(lang).alias("lang"), F.substring(F.col(text), 1, chars).alias("text"))
