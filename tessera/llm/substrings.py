@@ -1,11 +1,11 @@
 """Operator 6: substring deduplication by content-defined chunking with a gear rolling hash.
 
 The gear hash of the last WINDOW bytes is taken at every byte; a word end whose hash falls below a limit
-ends a chunk, about AVERAGE words after the one before.  Borders depend on nearby bytes alone, so a passage
+ends a chunk, about AVERAGE words after the one before, and MOST_WORDS at most.  Borders depend on nearby bytes alone, so a passage
 has the same chunks wherever it stands, but for its first and last few words.  Chunks are compared by a
 64-bit digest of their words (with their places, so that white space may differ).  The document with the least id keeps a
-chunk, at its first place; all other chunks of that digest are repeats.  Runs of adjacent repeats of
-LEAST_WORDS words and more are cut from their texts.
+chunk, all other documents' chunks of that digest are repeats; within=True counts those after a document's own first
+place too.  Runs of adjacent repeats of LEAST_WORDS words and more are cut from their texts.
 
 Tasks reduce equal digests of a slice before the shuffle; the join that marks repeats has one row for each
 digest on its smaller side, so AQE may split a hot digest.
@@ -26,6 +26,7 @@ from tessera.llm.common import SPACES, _powers, _values, mixed, slices, text_byt
 
 WINDOW = 16
 AVERAGE = 5
+MOST_WORDS = 32
 LEAST_WORDS = 16
 
 _GEAR = (_values(21, 256) >> np.uint64(32)).astype(np.uint32)
@@ -55,6 +56,11 @@ def chunks(at: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     cut[-1] = True
     e = np.flatnonzero(cut)
     b = np.concatenate([[0], e[:-1] + 1])
+    parts = -(-(e - b + 1) // MOST_WORDS)
+    if (parts > 1).any():  # a run of one word may have no border of its own
+        i = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        b, e = np.repeat(b, parts) + MOST_WORDS * i, np.repeat(e, parts)
+        e = np.minimum(b + MOST_WORDS - 1, e)
     power, inverse = _powers(len(raw))
     # white space adds nothing, and what follows a chunk's last word is white space
     sums = np.add.reduceat(_DIGEST[raw] * power[: len(raw)], starts[b])
@@ -129,26 +135,26 @@ def cut_text(raw: bytes, start: np.ndarray, end: np.ndarray, words: np.ndarray,
     return text.decode("utf-8", "replace"), spans, n
 
 
-def deduplicated(docs: DataFrame, key: str = "doc_id", column: str = "text", least: int = LEAST_WORDS) -> DataFrame:
+def deduplicated(docs: DataFrame, key: str = "doc_id", column: str = "text", least: int = LEAST_WORDS, within: bool = False) -> DataFrame:
     """docs' columns with the text cut, and n_chunks, n_cut (chunks), words_cut, spans (bytes of the
     text before) of each row."""
     extra = "n_chunks long, n_cut long, words_cut long, spans array<struct<start: long, end: long>>"
     names = [x.split()[0] for x in extra.split(", ") if x.split()[0] != "end:"]
     kept = [f for f in docs.schema.fields if f.name not in names]
     keep = [f.name for f in kept]
-    own = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(key).cast("long").alias("_id"), F.xxhash64(column).alias("_h"))
-    compared = own.where(F.col("_id").isNotNull() & F.col(column).isNotNull()).select(F.col("_id").alias("id"), F.col("_h").alias("h"), F.col(column).alias("text"))
-    repeats = marked(compared).select(F.col("id").alias("_id"), F.col("h").alias("_h"), F.col("repeats").alias("_repeats"))
-    full = own.join(repeats, ["_id", "_h"], "left").select(*[F.col(f"`{c}`") for c in keep], F.col("_id"), "_repeats")
+    own = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(key).cast("long").alias("_tessera_id"), F.xxhash64(column).alias("_tessera_h"))
+    compared = own.where(F.col("_tessera_id").isNotNull() & F.col(column).isNotNull()).select(F.col("_tessera_id").alias("id"), F.col("_tessera_h").alias("h"), F.col(column).alias("text"))
+    repeats = marked(compared).select(F.col("id").alias("_tessera_id"), F.col("h").alias("_tessera_h"), F.col("repeats").alias("_tessera_repeats"))
+    full = own.join(repeats, ["_tessera_id", "_tessera_h"], "left").select(*[F.col(f"`{c}`") for c in keep], F.col("_tessera_id"), "_tessera_repeats")
 
     def run(batches):
         for part in slices(batches, column):
             at, raw = text_bytes(part.column(column))
             text, start, end, words, digest = chunks(at, raw)
             begin = np.searchsorted(text, np.arange(part.num_rows + 1))
-            again = _again(text, digest)
-            has = part.column("_id").is_valid().to_pylist()
-            old, marks = part.column(column).to_pylist(), part.column("_repeats").to_pylist()
+            again = _again(text, digest) if within else np.zeros(len(text), bool)
+            has = part.column("_tessera_id").is_valid().to_pylist()
+            old, marks = part.column(column).to_pylist(), part.column("_tessera_repeats").to_pylist()
             texts, n, cut, cut_words, spans = [], [], [], [], []
             for r in range(part.num_rows):
                 a, b = begin[r], begin[r + 1]

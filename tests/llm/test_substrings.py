@@ -41,7 +41,7 @@ def test_chunks_cover_and_resist_shifts():
     assert len(set(own) - set(inserted)) <= 3
 
 
-def naive(rows, least=S.LEAST_WORDS):
+def naive(rows, least=S.LEAST_WORDS, within=False):
     """doc -> words cut, by comparing chunk texts in order of id and place."""
     first, out = {}, {}
     for i, text in sorted(rows):
@@ -51,7 +51,7 @@ def naive(rows, least=S.LEAST_WORDS):
         seen, n, run = set(), 0, 0
         for c in chunk_texts(text):
             k = c.replace("\n", " ")
-            if first[k] != i or k in seen:
+            if first[k] != i or within and k in seen:
                 run += len(c.split())
             else:
                 n, run = n + run * (run >= least), 0
@@ -80,6 +80,11 @@ def test_cuts_equal_a_direct_comparison(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {r.doc_id: r for r in S.deduplicated(df).collect()}
     assert {i: r.words_cut for i, r in got.items()} == naive(rows)
+    rows = rows[:9] + [(100, " ".join([rows[1][1]] * 2)), (101, "that " * 200), (102, "x y z " + "that " * 100)]
+    for within in (False, True):
+        got = S.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), within=within).collect()
+        assert {r.doc_id: r.words_cut for r in got} == naive(rows, within=within)
+    assert [r.words_cut > 60 for r in got if r.doc_id == 102] == [True]
 
 
 def test_planted_passages_go_and_clean_texts_stay(spark):
