@@ -6,7 +6,7 @@ wins.  All texts of a slice walk the automata together: whole texts are laid out
 characters, at whose borders every language's parse starts anew, and one numpy step moves all lanes.
 
 Fitting takes a bounded sample of labelled rows: per language SAMPLE_CHARS characters of at most
-SAMPLE_ROWS rows, and LANGUAGES languages; prediction reads every whole text.
+SAMPLE_ROWS rows, ROW_CHARS of each, and LANGUAGES languages; prediction reads every whole text.
 
 Defined results: und with score 0 where the text is null, empty or has no letter, or where nothing was
 learnt; equal phrase counts go to the smaller language value; the score is 1 less the ratio of the fewest
@@ -27,6 +27,8 @@ from tessera.llm.common import held_out, slices
 SAMPLE_CHARS = 40_000
 SAMPLE_ROWS = 300
 LANGUAGES = 64
+#: Characters that one row adds to the sample, so that many rows make it up.
+ROW_CHARS = 1_000
 #: Bound of the alphabet: letters that have classes of their own.
 LETTERS = 120
 LANE = 256
@@ -166,6 +168,20 @@ class Model:
         return [self.languages[b] if ok else UNDETERMINED for b, ok in zip(best, lettered, strict=True)], np.where(lettered, np.clip(score, 0, 1), 0.0)
 
 
+def agreed(texts: dict[str, list[str]], chars: int = SAMPLE_CHARS) -> dict[str, list[str]]:
+    """texts without those that a model of the other half of them finds in another language: a labelled text may be
+    mostly a passage in another language, which its automaton would then know by heart."""
+    halves = [{k: v[i::2] for k, v in texts.items() if len(v) > 1} for i in (0, 1)]
+    models = [Model(h, chars) for h in halves]
+    kept: dict[str, list[str]] = {k: [] for k in texts}
+    for k, v in texts.items():
+        for i in (0, 1):
+            own = v[i::2]
+            found = models[1 - i].predict(own)[0] if own and k in halves[1 - i] else [k] * len(own)
+            kept[k] += [t for t, lang in zip(own, found, strict=True) if lang in (k, UNDETERMINED)]
+    return {k: v or texts[k] for k, v in kept.items()}
+
+
 def fitted(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model:
     """Model of labelled rows that aren't held out; the first rows of each language by a hash of the key."""
     learnt = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull() & ~held_out(key))
@@ -181,12 +197,12 @@ def fitted(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: s
     ids = picked.select("k").distinct()  # at most rows * LANGUAGES
     texts: dict[str, list[str]] = {}
     used: dict[str, int] = {}
-    found = learnt.select(F.col(key).alias("k"), F.col(lang).alias("lang"), F.substring(F.col(text), 1, chars).alias("text"))
+    found = learnt.select(F.col(key).alias("k"), F.col(lang).alias("lang"), F.substring(F.col(text), 1, ROW_CHARS).alias("text"))
     for r in found.join(F.broadcast(ids), "k", "left_semi").orderBy(F.xxhash64("k"), "k", "lang", "text").toLocalIterator():
         if r.lang in names and used.get(r.lang, 0) < chars:
             texts.setdefault(r.lang, []).append(r.text)
             used[r.lang] = used.get(r.lang, 0) + len(r.text) + 1
-    return Model(texts, chars)
+    return Model(agreed(texts, chars), chars)
 
 
 def identify(docs: DataFrame, model: Model, column: str = "text") -> DataFrame:

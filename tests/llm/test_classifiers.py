@@ -70,6 +70,12 @@ def test_lanes_keep_whole_texts():
     assert ok.all() and n[0].argmin() == 1 and n[1].argmin() == 0
 
 
+def test_texts_in_another_language_are_not_learnt():
+    texts = {"en": ["the cat and the dog", "a cat of the house", "the dog is here", "le chat dans la maison"] * 4, "fr": ["le chat et le chien", "dans la maison", "la chatte est la", "le chien est ici"] * 4}
+    assert "le chat dans la maison" not in language_id.agreed(texts)["en"]
+    assert language_id.agreed({"x": ["a"]}) == {"x": ["a"]} and language_id.agreed({}) == {}
+
+
 def test_toxicity_held_out(spark):
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{DATA}/sf0.1/labels.parquet").collect()}
     got = toxicity.query(spark, f"{DATA}/sf0.1").collect()
