@@ -9,20 +9,20 @@ from tessera.sources.tables import table
 from tessera.streaming import events as S
 
 
-@register("ext_tumbling", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+@register("ext_tumbling", "SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def tumbling(spark, sf):
-    return S.drained(S.tumbling(S.source(spark, sf))).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+    return S.drained(S.tumbling(S.source(spark, sf))).select(F.unix_seconds("start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@register("ext_sliding", "SELECT d AS start, CAST(sum(n) AS BIGINT) AS n FROM (SELECT date_trunc('day', ts) AS d, count(*) AS n FROM events GROUP BY 1 UNION ALL SELECT date_trunc('day', ts) - INTERVAL 1 DAY, count(*) FROM events GROUP BY 1) GROUP BY d")
+@register("ext_sliding", "SELECT CAST(epoch(d) AS BIGINT) AS start, CAST(sum(n) AS BIGINT) AS n FROM (SELECT date_trunc('day', ts) AS d, count(*) AS n FROM events GROUP BY 1 UNION ALL SELECT date_trunc('day', ts) - INTERVAL 1 DAY, count(*) FROM events GROUP BY 1) GROUP BY d")
 def sliding(spark, sf):
-    return S.drained(S.sliding(S.source(spark, sf))).select(F.col("start").cast("timestamp_ntz").alias("start"), "n")
+    return S.drained(S.sliding(S.source(spark, sf))).select(F.unix_seconds("start").alias("start"), "n")
 
 
 @register("ext_sessions", """WITH l AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM l)
-SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS stop, count(*) AS n FROM s GROUP BY user_id, k""")
+SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS start, CAST(floor(epoch(max(ts) + INTERVAL 30 MINUTE)) AS BIGINT) AS stop, count(*) AS n FROM s GROUP BY user_id, k""")
 def sessions(spark, sf):
-    return S.sessions(S.batch(spark, sf)).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("stop").cast("timestamp_ntz").alias("stop"), "n")
+    return S.sessions(S.batch(spark, sf)).select("user_id", F.unix_seconds("start").alias("start"), F.unix_seconds("stop").alias("stop"), "n")
 
 
 @register("ext_stream_dedup", "SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY event_type")

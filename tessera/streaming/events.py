@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.graph import shared_dir
@@ -16,14 +16,19 @@ from tessera.operators.graph import shared_dir
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
+def absolute(ts: Column) -> Column:
+    """A time without zone as the moment it is in UTC, whatever the session's zone; windows begin on UTC days."""
+    return F.concat(ts.cast("string"), F.lit("+00:00")).cast("timestamp")
+
+
 def source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream of the events of a directory; ts as a timestamp, which watermarks need."""
     stream = spark.readStream.schema(SCHEMA).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
-    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    return stream.withColumn("ts", absolute(F.col("ts")))
 
 
 def batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", absolute(F.col("ts")))
 
 
 def tumbling(events: DataFrame, size: str = "1 day") -> DataFrame:
