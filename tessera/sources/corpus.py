@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DOCUMENT = "id long, idInBook long, hadithNumber long, arabic string, english string, grade string, majlisiGrading string, behdudiGrading string, mohseniGrading string, chapter string, url string"
+# Fields of the files.
+DOCUMENT = "id long, idInBook long, arabic string, english string, grade string, majlisiGrading string, behdudiGrading string, mohseniGrading string, chapter string, url string"
 VERSE = "array<struct<k: string, a: int, words: array<struct<t: string, r: string>>>>"
 ROOT = "struct<b: string, m: string, f: long, v: array<string>, fam: string>"
 
