@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import slices
+from tessera.llm.common import held, slices
 
 #: Bounds of the lexicon: words, and bytes of a word.
 LEXICON_WORDS = 60_000
@@ -288,16 +288,14 @@ class Coder:
         return b"".join(map(self.tables.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-_CODERS: dict[str, Coder] = {}
-
-
 def coder_of(shared) -> Coder:
     """This worker's coder for a broadcast: its memo lives on from task to task."""
     name, tables, head, body = shared.value
-    if name not in _CODERS:
-        _CODERS.clear()
-        _CODERS[name] = Coder(tables, Lexicon.mapped(head, body))
-    return _CODERS[name]
+    own = held("bpe")
+    if name not in own:
+        own.clear()
+        own[name] = Coder(tables, Lexicon.mapped(head, body))
+    return own[name]
 
 
 def frequent_words(docs: DataFrame, column: str = "text", least: int = LEXICON_LEAST, most: int = LEXICON_WORDS) -> list[str]:
@@ -343,7 +341,7 @@ def encode_decode(docs: DataFrame, path: str, column: str = "text", out: str = "
 
     def run(batches):
         coder = coder_of(shared)
-        for part in slices(batches, column):
+        for part in slices(batches, column, keep="bpe"):
             ids = coder.encode_all(part.column(column).to_pylist())
             made = {"ids": lambda ids=ids: pa.array(ids, pa.binary()), "n_tokens": lambda ids=ids: pa.array([len(x) // 4 for x in ids], pa.int64()), "ids_sha256": lambda ids=ids: pa.array([sha256(x).hexdigest() for x in ids])}
             if "decoded" in names or "decoded_sha256" in names:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text in one slice.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: Rows of 8-byte ids up to which a semi or anti join broadcasts them (16 MB); beyond, it shuffles.
 BROADCAST_IDS = 1_000_000
 
@@ -80,8 +80,20 @@ def trimmed() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches again, cut so that column holds about size bytes in each, or one text."""
+_HELD: dict[str, dict] = {}
+
+
+def held(kind: str) -> dict:
+    """What a worker keeps from task to task for one operator; a task of another drops it first."""
+    if kind not in _HELD:
+        _HELD.clear()
+        trimmed()
+    return _HELD.setdefault(kind, {})
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES, keep: str = "") -> Iterator[pa.RecordBatch]:
+    """The batches again, cut so that column holds about size bytes in each, or one text; keep: whose held things stay."""
+    held(keep)
     for batch in batches:
         if not batch.num_rows:
             continue

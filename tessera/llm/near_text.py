@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -365,7 +366,8 @@ def near_copies(docs: DataFrame, k: int = 4, t: int = 85, key: str = "doc_id", c
     """(doc_id, n_shingles, component_id): a row for each id; component_id is the least id reachable by links."""
     signed = written(signatures(docs, key, column, k, t, heavy_shingles(docs, column, k)), "signatures")
     reps = written(signed.where((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("digest", "n").agg(F.min("id").alias("rep")), "classes")
-    tiled = written(tiles(signed.where(F.col("id").isNotNull())), "tiles")
+    # kept on the executors' disks: read twice, and made again from the signatures where an executor is lost
+    tiled = tiles(signed.where(F.col("id").isNotNull())).persist(StorageLevel.DISK_ONLY)
     node = lambda d, n: F.struct(F.col(d).alias("d"), F.col(n).alias("n"))
     edge = lambda df: df.select(node("a", "na").alias("a"), node("b", "nb").alias("b"))
 

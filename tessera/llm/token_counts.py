@@ -20,10 +20,10 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm.common import slices
+from tessera.llm.common import held, slices
 
 #: Words whose counts a Python worker remembers before it starts anew.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 300_000
 #: What an unknown character costs beyond the least score of the vocabulary.
 UNKNOWN_PENALTY = 10.0
 SPACE = "▁"
@@ -93,16 +93,14 @@ class Counter:
         return sum(map(memo.__getitem__, words))
 
 
-_COUNTERS: dict[str, Counter] = {}
-
-
 def counter_of(shared) -> Counter:
     """This worker's counter for a broadcast: its memo lives on from task to task."""
     name, pieces = shared.value
-    if name not in _COUNTERS:
-        _COUNTERS.clear()
-        _COUNTERS[name] = Counter(pieces)
-    return _COUNTERS[name]
+    own = held("token counts")
+    if name not in own:
+        own.clear()
+        own[name] = Counter(pieces)
+    return own[name]
 
 
 def token_counts(docs: DataFrame, pieces: list[tuple[str, float]], column: str = "text") -> DataFrame:
@@ -115,7 +113,7 @@ def token_counts(docs: DataFrame, pieces: list[tuple[str, float]], column: str =
 
     def run(batches):
         counter = counter_of(shared)
-        for part in slices(batches, column):
+        for part in slices(batches, column, keep="token counts"):
             n = [counter.text(t) for t in part.column(column).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array(n, pa.int64())], [*keep, "n_tokens"])
 
