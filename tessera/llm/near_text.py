@@ -97,7 +97,7 @@ def heavy_shingles(docs: DataFrame, column: str, k: int, most: int = HEAVY) -> n
 
 
 def signatures(docs: DataFrame, key: str, column: str, k: int, t: int, heavy: np.ndarray) -> DataFrame:
-    """(id, n, digest, prefix): the first shingles in the global order, once for copies of a task."""
+    """(id, n, digest, prefix): the first shingles in the global order, once for copies of a task; none for a null id, which makes no tiles."""
     order = np.argsort(heavy)
     shared = docs.sparkSession.sparkContext.broadcast((heavy[order], order))
 
@@ -120,9 +120,10 @@ def signatures(docs: DataFrame, key: str, column: str, k: int, t: int, heavy: np
         for part in slices(batches, column):
             sets, digests = sets_of(part, column, k)
             prefixes = []
-            for s, d in zip(sets, digests.tolist(), strict=True):
-                prefixes.append(first(s) if len(s) and d not in seen else s[:0])
-                seen.add(d)
+            for s, d, has in zip(sets, digests.tolist(), part.column("id").is_valid().to_pylist(), strict=True):
+                prefixes.append(first(s) if len(s) and has and d not in seen else s[:0])
+                if has:
+                    seen.add(d)
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, prefixes)], dtype=np.int32)), pa.array(np.concatenate(prefixes).view(np.int64)))
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests), lists], ["id", "n", "digest", "prefix"])
 

@@ -90,6 +90,15 @@ def test_odd_rows(spark):
     assert NT.near_copies(df.limit(0)).count() == 0
 
 
+def test_null_id_before_a_row_with_a_near_copy(spark):
+    """A copy without an id comes first in its task; the row with an id still has its tiles and links."""
+    base = [f"w{i}" for i in range(60)]
+    text, near = " ".join(base), " ".join([*base[:-1], "other"])
+    df = spark.createDataFrame([(None, text), (1, text), (2, near), (None, near)], "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.component_id for r in NT.near_copies(df).collect()}
+    assert got[1] == got[2] == 1 and len(got) == 3
+
+
 def test_stage_keeps_one_of_each_group(spark):
     rows = [(i, f"{'a b c d e f g h i j k l m n o p' if i < 3 else f'z{i} y{i} x{i} w{i} v{i} u{i}'}", "en", "s", 1) for i in range(6)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
