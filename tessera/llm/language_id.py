@@ -9,7 +9,7 @@ Fitting takes a bounded sample of labelled rows: per language SAMPLE_CHARS chara
 SAMPLE_ROWS rows, ROW_CHARS of each, and LANGUAGES languages; prediction reads every whole text.
 
 Defined results: und with score 0 where the text is null, empty or has no letter, or where nothing was
-learnt; equal phrase counts go to the smaller language value; the score is 1 less the ratio of the fewest
+learnt (the pipeline's stage then keeps all texts with a letter); equal phrase counts go to the smaller language value; the score is 1 less the ratio of the fewest
 to the second fewest phrases (1 if only one language was learnt).  A null doc_id counts as not held out
 and isn't learnt from.  Rows are handled one by one; extra columns aren't read.
 """
@@ -35,6 +35,11 @@ LANE = 256
 #: Classes of characters: padding, everything but letters, unknown letters; letters follow.
 PAD, SPACE, OTHER = 0, 1, 2
 UNDETERMINED = "und"
+#: The pipeline's stage rejects texts of UNKNOWN_LEAST characters and more of which even the best language needs more
+#: than UNKNOWN phrases a character.  Texts of learnt languages need up to 0.28 on sf0.1, random letters 0.68, letters
+#: that no language has 1.
+UNKNOWN = 0.6
+UNKNOWN_LEAST = 20
 
 _LETTER = None
 
@@ -130,6 +135,10 @@ class Model:
 
     def phrases(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Per text: phrases by language (texts x languages), and whether it has a letter."""
+        return self._parsed(texts)[:2]
+
+    def _parsed(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """phrases() and each text's characters, runs of what isn't a letter as one."""
         points = [self._points(t) if t else np.zeros(0, np.uint32) for t in texts]
         size = np.array([len(p) for p in points], np.int64)
         every = np.concatenate([np.zeros(0, np.uint32), *points])
@@ -153,19 +162,25 @@ class Model:
                 begun += value & 1
                 state = value >> 1
             out[:, j] = np.bincount(of, begun, minlength=len(texts)).astype(np.int64)
-        return out, lettered
+        return out, lettered, size
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        return self.judged(texts)[:2]
+
+    def judged(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """predict() and whether the text may be in a learnt language: it has a letter and, where anything was
+        learnt, isn't a text of UNKNOWN_LEAST characters with more than UNKNOWN phrases a character."""
+        n, lettered, size = self._parsed(texts)
         if not self.languages:
-            return [UNDETERMINED] * len(texts), np.zeros(len(texts))
-        n, lettered = self.phrases(texts)
+            return [UNDETERMINED] * len(texts), np.zeros(len(texts)), lettered
         best = n.argmin(axis=1)
         fewest = n[np.arange(len(texts)), best]
         if len(self.languages) > 1:
             score = 1 - fewest / np.maximum(1, np.partition(n, 1, axis=1)[:, 1])
         else:
             score = np.ones(len(texts))
-        return [self.languages[b] if ok else UNDETERMINED for b, ok in zip(best, lettered, strict=True)], np.where(lettered, np.clip(score, 0, 1), 0.0)
+        known = lettered & ((size < UNKNOWN_LEAST) | (fewest <= UNKNOWN * size))
+        return [self.languages[b] if ok else UNDETERMINED for b, ok in zip(best, lettered, strict=True)], np.where(lettered, np.clip(score, 0, 1), 0.0), known
 
 
 def agreed(texts: dict[str, list[str]], chars: int = SAMPLE_CHARS) -> dict[str, list[str]]:
@@ -228,5 +243,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """documents without those whose language can't be told: no text or no letter in it."""
-    return identify(docs, fitted(docs)).where(F.col("lang_pred") != UNDETERMINED).select(*docs.columns)
+    """documents without those that have no letter or, by their phrases, are in no learnt language (UNKNOWN)."""
+    shared = spark.sparkContext.broadcast(fitted(docs))
+
+    def run(batches):
+        own = shared.value
+        for part in slices(batches):
+            yield part.filter(pa.array(own.judged(part.column("text").to_pylist())[2]))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -64,6 +64,16 @@ def test_language_id_odd_rows(spark):
     assert sorted(r.doc_id for r in language_id.stage(spark, train.where("text is not null"), "").collect() if r.doc_id is not None) == [*range(24), 98]
 
 
+def test_language_stage_goes_by_the_phrases(spark):
+    rows = [(i, t, k) for i, (t, k) in enumerate([("the cat and the dog are in the house", "en"), ("der hund und die katze sind in dem haus", "de")] * 12)]
+    docs = spark.createDataFrame([*rows, (30, "the dog and the cat " * 20, None), (31, "слова совсем другого языка " * 4, "en"), (32, "12 !?", "en"), (33, None, "en"), (35, "zz", None)], "doc_id long, text string, lang string")
+    got = language_id.stage(spark, docs.withColumn("lang", F.when(F.col("doc_id") < 30, F.col("lang"))), "")
+    assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == [*range(24), 30, 35]
+    # nothing to learn from: texts with a letter stay
+    for bare in (docs.withColumn("lang", F.lit(None).cast("string")), docs.withColumn("doc_id", F.lit(None).cast("long"))):
+        assert sorted(r.text for r in language_id.stage(spark, bare, "").collect()) == sorted(r.text for r in docs.collect() if r.text and r.text != "12 !?")
+
+
 def test_lanes_keep_whole_texts():
     model = language_id.Model({"a": ["ab " * 200], "b": ["cd " * 200]})
     n, ok = model.phrases(["ab " * 1000 + "cd " * 4000, "ab " * 10])
