@@ -6,7 +6,8 @@ wins.  All texts of a slice walk the automata together: whole texts are laid out
 characters, at whose borders every language's parse starts anew, and one numpy step moves all lanes.
 
 Fitting takes a bounded sample of labelled rows: per language SAMPLE_CHARS characters of at most
-SAMPLE_ROWS rows, ROW_CHARS of each, and LANGUAGES languages; prediction reads every whole text.
+SAMPLE_ROWS rows, ROW_CHARS of each; every language and every letter of the samples is learnt, and prediction
+reads every whole text.
 
 Defined results: und with score 0 where the text is null, empty or has no letter, or where nothing was
 learnt (the pipeline's stage then keeps all texts with a letter); equal phrase counts go to the smaller language value; the score is 1 less the ratio of the fewest
@@ -21,18 +22,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import held_out, slices
+from tessera.llm.common import by_ids, held_out, slices
 
-#: Bounds of what is fitted on: characters and rows per language, and languages.
+#: Bounds of what is fitted on: characters and rows per language.
 SAMPLE_CHARS = 40_000
 SAMPLE_ROWS = 300
-LANGUAGES = 64
 #: Characters that one row adds to the sample, so that many rows make it up.
 ROW_CHARS = 1_000
-#: Bound of the alphabet: letters that have classes of their own.
-LETTERS = 120
+#: Cells of all automata's total tables together; further automata keep only the transitions they have.
+DENSE_CELLS = 1 << 24
 LANE = 256
-#: Classes of characters: padding, everything but letters, unknown letters; letters follow.
+#: Classes of characters: padding, everything but letters, letters that aren't in the samples; letters follow.
 PAD, SPACE, OTHER = 0, 1, 2
 UNDETERMINED = "und"
 #: The pipeline's stage rejects texts of UNKNOWN_LEAST characters and more of which even the best language needs more
@@ -53,12 +53,14 @@ def is_letter() -> np.ndarray:
 
 
 class Automaton:
-    """Suffix automaton of a sequence of classes as a total transition table.
+    """Suffix automaton of a sequence of classes.
 
     table[state * width + c] = next state * width * 2 + (1 if a phrase begins with c); start is the state before a text.
+    The table is total for as many cells as are given; beyond, it has the transitions that occur, sorted in keys, and
+    fresh, what a phrase that begins with c leads to, stands for all others.
     """
 
-    def __init__(self, codes: list[int], width: int):
+    def __init__(self, codes: list[int], width: int, cells: int = DENSE_CELLS):
         follow: list[dict[int, int]] = [{}]
         link, length, last = [-1], [0], 0
         for c in codes:
@@ -85,6 +87,18 @@ class Automaton:
                     link[q] = link[new] = twin
             last = new
         n = len(follow)  # also the state between phrases, after a letter that doesn't occur
+        self.start = n * width
+        self.cells = (n + 1) * width
+        if self.cells > cells:
+            edges = np.array([(s * width + c, t * width * 2) for s, own in enumerate(follow) for c, t in own.items()], np.int64).reshape(-1, 2)
+            edges = edges[np.argsort(edges[:, 0])]
+            self.keys, self.table = edges[:, 0].copy(), edges[:, 1].copy()
+            self.fresh = np.full(width, n * width * 2 + 1, np.int64)
+            for c, t in follow[0].items():
+                self.fresh[c] = t * width * 2 + 1
+            self.cells = 0
+            return
+        self.keys = None
         table = np.full((n + 1, width), -1, np.int64)
         for s, edges in enumerate(follow):
             for c, t in edges.items():
@@ -92,22 +106,41 @@ class Automaton:
         fresh = np.where(table[0] >= 0, table[0], n) * width * 2 + 1  # where a phrase that begins with c leads
         out = np.where(table >= 0, table * width * 2, fresh[None, :])
         out[:, PAD] = np.arange(n + 1) * width * 2
-        self.start = n * width
         self.table = out.astype(np.int32 if (n + 1) * width * 2 < 2**31 else np.int64).ravel()
 
+    def step(self, state: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Entries of the total table for states and the classes they read."""
+        if self.keys is None:
+            return self.table.take(state + codes)
+        value = self.fresh[codes]
+        if len(self.keys):
+            key = state + codes
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            value = np.where(self.keys[at] == key, self.table[at], value)
+        return np.where(codes == PAD, state * 2, value)
+
 
 class Model:
     """Languages, letter classes and automata of labelled texts."""
 
     def __init__(self, texts: dict[str, list[str]], chars: int = SAMPLE_CHARS):
-        self.languages = sorted(texts)[:LANGUAGES]
+        self.languages = sorted(texts)
         codes = {k: self._points(" ".join(texts[k]))[:chars] for k in self.languages}
         every = np.concatenate([np.zeros(0, np.uint32), *codes.values()])
-        letters, n = np.unique(every[is_letter()[every]], return_counts=True)
-        self.letters = letters[np.argsort(-n, kind="stable")][:LETTERS]
+        self.letters = np.unique(every[is_letter()[every]])
         self.width = OTHER + 1 + len(self.letters)
         self._classes = None
-        self.automata = [Automaton(self._collapsed(self.classes()[codes[k]])[0].tolist(), self.width) for k in self.languages]
+        # each automaton has the letters of its own sample; to it, all others are one class that never occurs
+        self.own, self.automata, cells = [], [], DENSE_CELLS
+        for k in self.languages:
+            sample = self._collapsed(self.classes()[codes[k]])[0]
+            held = np.unique(sample[sample > OTHER])
+            own = np.full(self.width, OTHER, np.int32)
+            own[[PAD, SPACE]] = PAD, SPACE
+            own[held] = np.arange(OTHER + 1, OTHER + 1 + len(held))
+            self.own.append(own)
+            self.automata.append(Automaton(own[sample].tolist(), OTHER + 1 + len(held), cells))
+            cells -= self.automata[-1].cells
 
     @staticmethod
     def _points(text: str) -> np.ndarray:
@@ -115,7 +148,7 @@ class Model:
 
     def classes(self) -> np.ndarray:
         if self._classes is None:
-            self._classes = np.where(is_letter(), np.uint8(OTHER), np.uint8(SPACE))
+            self._classes = np.where(is_letter(), np.int32(OTHER), np.int32(SPACE))
             self._classes[self.letters] = np.arange(OTHER + 1, self.width)
         return self._classes
 
@@ -148,17 +181,17 @@ class Model:
         size = np.bincount(text, minlength=len(texts))
         lanes = -(-size // LANE)
         first = np.concatenate([[0], np.cumsum(lanes)[:-1]])
-        grid = np.zeros(int(lanes.sum()) * LANE, np.uint8)
+        grid = np.zeros(int(lanes.sum()) * LANE, np.int32)
         begin = np.concatenate([[0], np.cumsum(size)[:-1]])
         grid[np.arange(len(codes)) - begin[text] + first[text] * LANE] = codes
-        steps = np.ascontiguousarray(grid.reshape(-1, LANE).T).astype(np.int32)
+        steps = np.ascontiguousarray(grid.reshape(-1, LANE).T)
         of = np.repeat(np.arange(len(texts)), lanes)
         out = np.zeros((len(texts), len(self.languages)), np.int64)
-        for j, a in enumerate(self.automata):
+        for j, (a, own) in enumerate(zip(self.automata, self.own, strict=True)):
             state = np.full(steps.shape[1], a.start, a.table.dtype)
             begun = np.zeros(steps.shape[1], np.int32)
             for row in steps:
-                value = a.table.take(state + row)
+                value = a.step(state, own.take(row))
                 begun += value & 1
                 state = value >> 1
             out[:, j] = np.bincount(of, begun, minlength=len(texts)).astype(np.int64)
@@ -189,32 +222,34 @@ def agreed(texts: dict[str, list[str]], chars: int = SAMPLE_CHARS) -> dict[str,
     halves = [{k: v[i::2] for k, v in texts.items() if len(v) > 1} for i in (0, 1)]
     models = [Model(h, chars) for h in halves]
     kept: dict[str, list[str]] = {k: [] for k in texts}
-    for k, v in texts.items():
-        for i in (0, 1):
-            own = v[i::2]
-            found = models[1 - i].predict(own)[0] if own and k in halves[1 - i] else [k] * len(own)
-            kept[k] += [t for t, lang in zip(own, found, strict=True) if lang in (k, UNDETERMINED)]
+    for i in (0, 1):
+        own = [(k, t) for k, v in texts.items() for t in v[i::2]]
+        for j in range(0, len(own), 1000):
+            part = own[j : j + 1000]
+            for (k, t), lang in zip(part, models[1 - i].predict([t for _, t in part])[0], strict=True):
+                if k not in halves[1 - i] or lang in (k, UNDETERMINED):
+                    kept[k].append(t)
     return {k: v or texts[k] for k, v in kept.items()}
 
 
 def fitted(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model:
     """Model of labelled rows that aren't held out; the first rows of each language by a hash of the key."""
     learnt = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull() & ~held_out(key))
-    counts = learnt.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    counts = learnt.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).collect()
     if not counts:
         return Model({}, chars)
-    names = sorted(r.lang for r in counts)
     # of each language a slice of the hash's range that holds about twice the bound, then the bound itself
-    part = F.create_map(*[x for r in counts for x in (F.lit(r.lang), F.lit(int((1 << 30) * min(1.0, 2 * rows / r.n))))])
-    sliced = learnt.where(F.col(lang).isin(names) & (F.pmod(F.xxhash64(key), F.lit(1 << 30)) <= part[F.col(lang)]))
+    part = labelled.sparkSession.createDataFrame([(r.lang, int((1 << 30) * min(1.0, 2 * rows / r.n))) for r in counts], "lang string, part long")
+    sliced = learnt.select(F.col(lang).alias("lang"), F.col(key).alias("k")).join(F.broadcast(part), "lang").where(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) <= F.col("part"))
     order = Window.partitionBy("lang").orderBy("h", "k")
-    picked = sliced.select(F.col(lang).alias("lang"), F.xxhash64(key).alias("h"), F.col(key).alias("k")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows)
-    ids = picked.select("k").distinct()  # at most rows * LANGUAGES
+    picked = sliced.select("lang", F.xxhash64("k").alias("h"), "k").withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows)
+    ids = picked.select("k").distinct()
+    most = sum(min(rows, r.n) for r in counts)
     texts: dict[str, list[str]] = {}
     used: dict[str, int] = {}
     found = learnt.select(F.col(key).alias("k"), F.col(lang).alias("lang"), F.substring(F.col(text), 1, ROW_CHARS).alias("text"))
-    for r in found.join(F.broadcast(ids), "k", "left_semi").orderBy(F.xxhash64("k"), "k", "lang", "text").toLocalIterator():
-        if r.lang in names and used.get(r.lang, 0) < chars:
+    for r in by_ids(found, ids, "k", "left_semi", most).orderBy(F.xxhash64("k"), "k", "lang", "text").toLocalIterator():
+        if used.get(r.lang, 0) < chars:
             texts.setdefault(r.lang, []).append(r.text)
             used[r.lang] = used.get(r.lang, 0) + len(r.text) + 1
     return Model(agreed(texts, chars), chars)

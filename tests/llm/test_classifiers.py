@@ -74,6 +74,34 @@ def test_language_stage_goes_by_the_phrases(spark):
         assert sorted(r.text for r in language_id.stage(spark, bare, "").collect()) == sorted(r.text for r in docs.collect() if r.text and r.text != "12 !?")
 
 
+def test_every_letter_and_language_is_learnt(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    script = lambda at, n, size: "".join(map(chr, at + rng.integers(0, n, size)))
+    texts = {"zh": [script(0x4E00, 200, 4000)], "ko": [script(0xAC00, 90, 300)], "hi": [script(0x0915, 30, 300)], "ja": [script(0x3041, 80, 300)]}
+    found = []
+    for cells in (language_id.DENSE_CELLS, 0):
+        monkeypatch.setattr(language_id, "DENSE_CELLS", cells)
+        model = language_id.Model(texts)
+        assert [a.keys is None for a in model.automata] == [bool(cells)] * 4
+        assert all(model.predict([v[0][100:180]])[0] == [k] for k, v in texts.items())
+        found.append(model.phrases([texts["ko"][0] + " x", texts["zh"][0][:700], "", None])[0].tolist())
+    assert found[0] == found[1]
+    rows = [(i, "".join(chr(97 + (7 * (i // 6) + j * (1 + i // 6 % 5)) % 26) for j in range(12)) * 4, f"l{i // 6:03}") for i in range(70 * 6)]
+    assert len(language_id.fitted(spark.createDataFrame(rows, "doc_id long, text string, lang string")).languages) == 70
+
+
+def test_sparse_automaton_steps_as_the_table():
+    rng = np.random.default_rng(6)
+    codes = rng.integers(1, 6, 200).tolist()
+    dense, sparse = language_id.Automaton(codes, 9), language_id.Automaton(codes, 9, 0)
+    x, y = np.full(50, dense.start), np.full(50, sparse.start)
+    for _ in range(80):
+        row = rng.integers(0, 9, 50)
+        x, y = dense.step(x, row), sparse.step(y, row)
+        assert x.tolist() == y.tolist()
+        x, y = x >> 1, y >> 1
+
+
 def test_lanes_keep_whole_texts():
     model = language_id.Model({"a": ["ab " * 200], "b": ["cd " * 200]})
     n, ok = model.phrases(["ab " * 1000 + "cd " * 4000, "ab " * 10])
