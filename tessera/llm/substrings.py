@@ -5,7 +5,9 @@ ends a chunk, about AVERAGE words after the one before, and MOST_WORDS at most.
 has the same chunks wherever it stands, but for its first and last few words.  Chunks are compared by a
 64-bit digest of their words (with their places, so that white space may differ).  The document with the least id keeps a
 chunk, all other documents' chunks of that digest are repeats; within=True counts those after a document's own first
-place too.  Runs of adjacent repeats of LEAST_WORDS words and more are cut from their texts.
+place too.  Runs of adjacent repeats of LEAST_WORDS words and more are cut from their texts.  With joined=True not chunks but
+windows are compared, the shortest sequences of adjacent chunks of LEAST_WORDS words from each chunk on and up to each
+chunk, so that what is cut stands together in one other document.  The pipeline's stage does so.
 
 Tasks reduce equal digests of a slice before the shuffle; the join that marks repeats has one row for each
 digest on its smaller side, so AQE may split a hot digest.
@@ -77,12 +79,47 @@ def _again(text: np.ndarray, digest: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated(docs: DataFrame) -> DataFrame:
+def windows(text: np.ndarray, words: np.ndarray, digest: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First chunk, last chunk and digest of the shortest sequences of a text's chunks with least words, from each chunk
+    on and up to each chunk."""
+    to = np.cumsum(words)
+    before = to - words
+    n = len(text)
+    i = np.arange(n)
+    last = np.searchsorted(to, before + least)
+    first = np.searchsorted(before, to - least, "right") - 1
+    a, b = np.concatenate([i, first]), np.concatenate([last, i])
+    inside = (a >= 0) & (b < n)
+    a, b = a[inside], b[inside]
+    same = text[a] == text[b]
+    code = np.unique(a[same] * least + b[same] - a[same])  # a chunk has a word at least
+    a, more = code // least, code % least
+    d = digest.view(np.uint64)
+    out = mixed(d[a] + np.uint64(1)) if n else d[a]
+    for k in range(1, least):
+        longer = np.flatnonzero(more >= k)
+        if not len(longer):
+            break
+        out[longer] = mixed(out[longer] + d[a[longer] + k])
+    return a, a + more, out.view(np.int64)
+
+
+def _compared(part, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, number in the text and digest of what is compared: chunks, or with least windows, numbered by first chunk * least + chunks - 1."""
+    text, _, _, words, digest = chunks(*text_bytes(part.column("text")))
+    begin = np.searchsorted(text, text)  # a text's first chunk
+    if not least:
+        return text, np.arange(len(text)) - begin, digest
+    a, b, digest = windows(text, words, digest, least)
+    return text[a], (a - begin[a]) * least + b - a, digest
+
+
+def repeated(docs: DataFrame, least: int = 0) -> DataFrame:
     """(digest, first): digests that several documents of (id, text) have, and the least id."""
 
     def run(batches):
         for part in slices(batches):
-            text, _, _, _, digest = chunks(*text_bytes(part.column("text")))
+            text, _, digest = _compared(part, least)
             ids = np.asarray(part.column("id"))[text]
             order = np.lexsort((ids, digest))
             ids, digest = ids[order], digest[order]
@@ -97,17 +134,16 @@ def repeated(docs: DataFrame) -> DataFrame:
     return sums.where(F.col("n") > 1).select("digest", "first")
 
 
-def marked(docs: DataFrame) -> DataFrame:
-    """(id, h, repeats): for texts with repeats, the sorted numbers of the repeated chunks."""
+def marked(docs: DataFrame, least: int = 0) -> DataFrame:
+    """(id, h, repeats): for texts with repeats, the sorted numbers of the repeated chunks, or with least windows."""
 
     def run(batches):
         for part in slices(batches):
-            text, _, _, _, digest = chunks(*text_bytes(part.column("text")))
-            begin = np.searchsorted(text, text)  # a text's first chunk
-            yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(text)), part.column("h").take(pa.array(text)), pa.array((np.arange(len(text)) - begin).astype(np.int32)), pa.array(digest)], ["id", "h", "i", "digest"])
+            text, i, digest = _compared(part, least)
+            yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(text)), part.column("h").take(pa.array(text)), pa.array(i.astype(np.int32)), pa.array(digest)], ["id", "h", "i", "digest"])
 
     rows = docs.mapInArrow(run, "id long, h long, i int, digest long")
-    return rows.join(repeated(docs.select("id", "text")), "digest").where(F.col("id") != F.col("first")).groupBy("id", "h").agg(F.array_sort(F.collect_set("i")).alias("repeats"))
+    return rows.join(repeated(docs.select("id", "text"), least), "digest").where(F.col("id") != F.col("first")).groupBy("id", "h").agg(F.array_sort(F.collect_set("i")).alias("repeats"))
 
 
 def cut_text(raw: bytes, start: np.ndarray, end: np.ndarray, words: np.ndarray, repeat: np.ndarray, least: int) -> tuple[str, list[tuple[int, int]], int]:
@@ -135,7 +171,7 @@ def cut_text(raw: bytes, start: np.ndarray, end: np.ndarray, words: np.ndarray,
     return text.decode("utf-8", "replace"), spans, n
 
 
-def deduplicated(docs: DataFrame, key: str = "doc_id", column: str = "text", least: int = LEAST_WORDS, within: bool = False) -> DataFrame:
+def deduplicated(docs: DataFrame, key: str = "doc_id", column: str = "text", least: int = LEAST_WORDS, within: bool = False, joined: bool = False) -> DataFrame:
     """docs' columns with the text cut, and n_chunks, n_cut (chunks), words_cut, spans (bytes of the
     text before) of each row."""
     extra = "n_chunks long, n_cut long, words_cut long, spans array<struct<start: long, end: long>>"
@@ -144,7 +180,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", column: str = "text", lea
     keep = [f.name for f in kept]
     own = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(key).cast("long").alias("_tessera_id"), F.xxhash64(column).alias("_tessera_h"))
     compared = own.where(F.col("_tessera_id").isNotNull() & F.col(column).isNotNull()).select(F.col("_tessera_id").alias("id"), F.col("_tessera_h").alias("h"), F.col(column).alias("text"))
-    repeats = marked(compared).select(F.col("id").alias("_tessera_id"), F.col("h").alias("_tessera_h"), F.col("repeats").alias("_tessera_repeats"))
+    repeats = marked(compared, least if joined else 0).select(F.col("id").alias("_tessera_id"), F.col("h").alias("_tessera_h"), F.col("repeats").alias("_tessera_repeats"))
     full = own.join(repeats, ["_tessera_id", "_tessera_h"], "left").select(*[F.col(f"`{c}`") for c in keep], F.col("_tessera_id"), "_tessera_repeats")
 
     def run(batches):
@@ -159,7 +195,10 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", column: str = "text", lea
             for r in range(part.num_rows):
                 a, b = begin[r], begin[r + 1]
                 repeat = again[a:b].copy()
-                if marks[r]:
+                if marks[r] and joined:
+                    for m in marks[r]:
+                        repeat[m // least : m // least + m % least + 1] = True
+                elif marks[r]:
                     repeat[marks[r]] = True
                 n.append(b - a)
                 if not repeat.any() or not has[r]:
@@ -186,7 +225,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """documents with repeated passages cut; those of which no word is left go."""
-    out = deduplicated(docs)
+    out = deduplicated(docs, joined=True)
     out = out.where((F.col("words_cut") == 0) | (F.length("text") > 0))
     return out.select(*[F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars") if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 

@@ -119,3 +119,32 @@ def test_query_runs_on_whole_table(spark):
     sf = f"{DATA}/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     assert {r.doc_id: r.words_cut for r in S.query(spark, sf).collect()} == naive(rows)
+
+
+def test_joined_cuts_only_what_stands_together_elsewhere(spark):
+    rows, passage = planted()
+    whole = " ".join(passage)
+    own = next(t for i, t in rows if whole not in t and len(t.split()) > 150)
+    # the last text is made of another's chunks in another order
+    pieces = [c for c in chunk_texts(own) if len(c) > 2 * S.WINDOW and len(c.split()) < S.LEAST_WORDS]
+    scattered = " ".join(pieces[::-1])
+    rows = [*rows, (500, scattered)]
+    df = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars int")
+    got = {r.doc_id: r for r in S.stage(spark, df, "").collect()}
+    runs = {i: {tuple(t.split()[j : j + S.LEAST_WORDS]) for j in range(len(t.split()) - S.LEAST_WORDS + 1)} for i, t in rows}
+    shared = lambda i: set().union(*(runs[k] for k, _ in rows if k < i)) & runs[i]
+    assert S.deduplicated(df).where("doc_id = 500").first().words_cut > 0
+    assert all(i in got and got[i].text == t for i, t in rows if not shared(i))
+    assert not shared(500) and got[500].text == scattered
+    holders = [i for i, t in rows if whole in t]
+    assert whole in got[holders[0]].text and not [i for i in holders[1:] if i in got and whole in got[i].text]
+
+
+def test_windows_equal_a_direct_search():
+    rng = np.random.default_rng(7)
+    text, words = np.sort(rng.integers(0, 9, 60)), rng.integers(1, 9, 60)
+    digest = rng.integers(0, 2**62, 60)
+    a, b, _ = S.windows(text, words, digest, 16)
+    fits = {(i, j) for i in range(60) for j in range(i, 60) if text[i] == text[j] and words[i : j + 1].sum() >= 16}
+    want = {(i, j) for i, j in fits if (i, j - 1) not in fits or (i + 1, j) not in fits}
+    assert set(zip(a.tolist(), b.tolist(), strict=True)) == want
