@@ -2,13 +2,14 @@
 
 A page is read tag by tag into flat blocks of text: block-level tags part them, inline tags don't, and a
 line break is white space.  Each block has its words and link density, those of its neighbours before and
-after, and what its ancestors say (article, page furniture by element, role, class or id, heading, hidden).
+after, and what its ancestors say (article, page furniture by element, role, class or id, heading, hidden).  Forms and hints of class or id
+around an article or main element don't count in it, but for comments, teasers and advertisements around an article.
 A decision tree, grown from the labelled blocks of TRAINING, says which blocks are main text.
 
 Defined results: a null, empty or text-free page gives an empty text and 0 characters.  Unclosed and
 stray tags are tolerated; an incomplete tag at the end of a page is dropped.  Character references are
 decoded; white space inside a block becomes one space, blocks are trimmed and joined by one line feed in
-page order.  Rows are handled one by one; extra columns pass through.
+page order.  An option without end tag ends at the next one or with its parent.  Rows are handled one by one; extra columns pass through.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ INLINE = frozenset(
     "strike strong sub sup time tt u var wbr".split()
 )
 #: Elements whose content is never text of the page.
-RAW = frozenset("script style noscript template iframe object textarea select option svg canvas audio video head title".split())
+RAW = frozenset("script style noscript template iframe object textarea select svg canvas audio video head title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements, roles and words of a class or id that mark page furniture.
 FURNITURE = frozenset("nav footer aside form menu dialog button fieldset".split())
@@ -38,6 +39,15 @@ HINTS = frozenset(
     "recommended recommendations teaser teasers comment comments commentlist reply replies respond discussion disqus nav navbar navigation menu menus "
     "breadcrumb breadcrumbs pagination pager footer header masthead search toolbar skip legal copyright disclaimer".split()
 )
+#: Hints on what holds articles of their own, as readers' comments and teasers; other hints and forms around an article say
+#: nothing about it.  A class such as has-sidebar names the state of a wrapper.
+PARTS = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion promoted related recommended "
+    "recommendations teaser teasers comment comments commentlist reply replies respond discussion disqus".split()
+)
+_STATE = re.compile(r"(?:has|no|with|without)[-_]")
+#: Where the text of an option ends: at its end tag, another option or its parent's end.
+_OPTION_END = re.compile(r"</?(?:option|optgroup)\b|</([a-zA-Z][^\s/>]*)", re.I)
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b")
 _HEADING = re.compile(r"h[1-6]\Z")
@@ -54,9 +64,11 @@ class Block:
         self.article, self.furniture, self.heading, self.header = article, furniture, heading, header
 
 
-def _marks(tag: str, attributes: str) -> tuple[bool, bool, bool, bool]:
-    """Whether an element is an article, furniture, a heading, a header."""
-    article, furniture = tag in ("article", "main"), tag in FURNITURE
+def _marks(tag: str, attributes: str) -> tuple[bool, bool, bool, bool, bool, bool]:
+    """Whether an element is an article, furniture, a heading, a header; whether it is furniture by hints or as a form only,
+    and whether by those of PARTS."""
+    article, furniture = tag in ("article", "main"), tag in FURNITURE and tag != "form"
+    soft, part = tag == "form", False
     if attributes and tag not in ("html", "body", "a", "br", "p"):
         for name, a, b, c, hidden in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), (a or b or c).lower()
@@ -65,20 +77,22 @@ def _marks(tag: str, attributes: str) -> tuple[bool, bool, bool, bool]:
             elif name == "role":
                 article, furniture = article or value in ("article", "main"), furniture or value in ROLES
             elif name in ("class", "id") and not article:
-                furniture = furniture or not HINTS.isdisjoint(re.split(r"[^a-z]+", value))
-    return article, furniture, bool(_HEADING.match(tag)), tag == "header"
+                hints = HINTS.intersection(x for c in value.split() if not _STATE.match(c) for x in re.split(r"[^a-z]+", c))
+                soft, part = soft or bool(hints), part or not PARTS.isdisjoint(hints)
+    return article, furniture or soft, bool(_HEADING.match(tag)), tag == "header", soft and not furniture, part
 
 
 def blocks(html: str) -> list[Block]:
     """Flat text blocks in page order; those without text are left out."""
     out: list[Block] = []
-    stack: list[tuple[str, int, int, int, int]] = [("", 0, 0, 0, 0)]  # tag; articles, furniture, headings, headers open
+    # tag; articles, furniture, headings, headers open, and of the furniture what an article, and what a main element, sets aside
+    stack: list[tuple[str, int, int, int, int, int, int]] = [("", 0, 0, 0, 0, 0, 0)]
     links, block, at, n = 0, None, 0, len(html)
 
     def put(text: str) -> None:
         nonlocal block
         if block is None:
-            _, article, furniture, heading, header = stack[-1]
+            _, article, furniture, heading, header, _, _ = stack[-1]
             block = Block(article > 0, furniture > 0, heading > 0, header > 0)
             out.append(block)
         block.parts.append(text)
@@ -115,6 +129,10 @@ def blocks(html: str) -> list[Block]:
                 end = re.compile(rf"</{tag}\s*(?:>|\Z)", re.I).search(html, at)
                 at = end.end() if end else (n if tag != "head" else at)
             continue
+        if tag == "option":
+            end = next((m for m in _OPTION_END.finditer(html, at) if not m[1] or m[1].lower() not in INLINE), None)
+            at = end.start() if end else n
+            continue
         if tag in VOID:
             continue
         if tag == "p" or _HEADING.match(tag):  # these don't nest
@@ -124,9 +142,11 @@ def blocks(html: str) -> list[Block]:
                     break
                 if stack[i][0] not in ("p",):
                     break
-        _, article, furniture, heading, header = stack[-1]
+        _, article, furniture, heading, header, loose, parts = stack[-1]
         own = _marks(tag, m[3] or m[6] or "")
-        stack.append((tag, article + own[0], furniture + own[1], heading + own[2], header + own[3]))
+        if own[0] and not article and (tag == "main" or not parts):
+            furniture, loose, parts = furniture - loose, 0, 0
+        stack.append((tag, article + own[0], furniture + own[1], heading + own[2], header + own[3], loose + own[4], parts + own[5]))
     kept = []
     for b in out:
         words = unescape("".join(b.parts)).split()

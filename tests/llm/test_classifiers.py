@@ -168,6 +168,18 @@ def test_main_text_of_a_page():
     assert html_text.main_text("<article><p>cut &am", tree) == "cut &am" and html_text.main_text("<article><p>cut <a hre", tree) == "cut"
 
 
+def test_wrappers_do_not_empty_an_article():
+    tree = html_text.Tree(html_text.TRAINING)
+    article = "<article><h1>Title</h1><p>Some text of the article in a few words.</p><div class='ad'>Buy</div><form>Send</form></article>"
+    want = "Title\nSome text of the article in a few words."
+    for before, after in (("<div class='layout has-sidebar'>", "</div>"), ("<div class='content widget'>", "</div>"), ("<form id='page'>", "</form>"), ("<form><div class='related'><main>", "</main></div></form>")):
+        assert html_text.main_text(before + article + after, tree) == want
+    for before, after in (("<nav>", "</nav>"), ("<section class='comments'>", "</section>"), ("<div class='related teasers'>", "</div>"), ("<div hidden>", "</div>")):
+        assert html_text.main_text(before + article + after, tree) == ""
+    assert html_text.main_text(f"<datalist><option>one<option value=2>two</datalist>{article}<select><option>x</option></select>", tree) == want
+    assert html_text.main_text(f"<datalist><option>one</option></datalist>{article}", tree) == want
+
+
 def test_tree_fits_its_table():
     tree = html_text.Tree(html_text.TRAINING)
     assert sum(tree.label(r[:-1]) == r[-1] for r in html_text.TRAINING) >= 0.97 * len(html_text.TRAINING)
