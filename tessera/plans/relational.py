@@ -196,7 +196,7 @@ def search_index(spark, sf):
     sizes = docs.groupBy("source").agg(F.count("*").alias("n_docs"))
     langs = docs.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= 100).select("lang")
     heads = docs.select("doc_id", "source", "lang", F.substring("text", 1, 50).alias("preview"))
-    out = heads.join(F.broadcast(langs.limit(10_000)), "lang", "left_semi").join(sizes, "source").join(table(spark, sf, "labels"), "doc_id", "left")
+    out = heads.join(langs, "lang", "left_semi").join(sizes, "source").join(table(spark, sf, "labels"), "doc_id", "left")
     grade = F.when(F.col("toxic") == 1, "toxic").when(F.col("toxic") == 0, "clean").otherwise("unknown")
     return out.select("doc_id", "source", "preview", F.coalesce("quality", F.lit(-1)).alias("quality"), grade.alias("grade"), "n_docs")
 

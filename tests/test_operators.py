@@ -157,3 +157,11 @@ def test_vector_blocks_agree(spark, monkeypatch):
     monkeypatch.setattr(V, "QUERY_BLOCK", 4)
     assert sorted(map(tuple, V.vector_top_k(df, q, 3).collect())) == one
     assert len(one) == 36
+
+
+def test_search_index_takes_every_language(spark):
+    from tessera import registry
+    from tests.conftest import DATA
+
+    plan = registry.queries()["cq_search_index"](spark, f"{DATA}/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Limit" not in plan
