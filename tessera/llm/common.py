@@ -9,9 +9,10 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text in one slice.
 SLICE_BYTES = 1 << 19
+#: Rows of an Arrow batch between the JVM and Python, where the session doesn't set its own number: Spark's 10,000 texts would be tens of MB.
+BATCH_ROWS = 512
 #: Rows of 8-byte ids up to which a semi or anti join broadcasts them (16 MB); beyond, it shuffles.
 BROADCAST_IDS = 1_000_000
 
@@ -29,16 +32,23 @@ M3 = np.uint64(0x94D049BB133111EB)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share; a temporary one is set only where the session names none."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all machines share; only a session on this machine alone may name none, and gets a temporary one."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not re.match(r"local(\[|\Z)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
         at = spark.sparkContext.getCheckpointDir()
-        if not at:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
-            at = spark.sparkContext.getCheckpointDir()
     return at
 
 
+def small_batches(spark: SparkSession) -> None:
+    """BATCH_ROWS rows to an Arrow batch from now on, unless the session has a number of its own."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: its lineage ends there, lost executors or not."""
     spark = df.sparkSession
@@ -106,6 +116,18 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
         trimmed()
 
 
+def text_column(fn: Callable[[pa.Array], pa.Array], returns: str, keep: str = "") -> Callable:
+    """A column function of texts: fn gets slices as of slices().  Only the texts go to Python and only fn's values come back."""
+
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            whole = pa.RecordBatch.from_arrays([column], ["text"])
+            parts = [fn(part.column("text")) for part in slices(iter([whole]), keep=keep)]
+            yield pa.concat_arrays(parts) if parts else fn(column)
+
+    return F.arrow_udf(run, returns)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
     x = (x ^ (x >> np.uint64(30))) * M2

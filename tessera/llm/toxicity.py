@@ -5,27 +5,27 @@ parts words), its pairs of neighbours and its pairs one word apart.  Training is
 leader with per-coordinate rates; the L1 term leaves few weights, which are broadcast as pairs of index
 and weight.  Scoring reads whole texts: the distinct features with a weight add up.
 
-Fitting takes a bounded sample: SAMPLE_ROWS labelled rows, picked by a hash of their id.
+Fitting takes a bounded sample: SAMPLE_ROWS labelled ids, picked by a hash, one text of each, and of these in
+the order of that hash as many as have SAMPLE_BYTES of features (4 bytes each) together.
 
 Defined results: a null or empty text gets the score of no features (the bias).  Labels that are null
-are not learnt from; of several labels of one id the greatest counts; several texts of one id all count.
-Without labelled rows every score is 0.  A null doc_id is not held out, is scored and isn't learnt from.
-Rows are handled one by one; extra columns aren't read.
+are not learnt from; of several labels of one id the greatest counts; of several texts of one id that with the least hash is
+learnt from.  Without labelled rows every score is 0.  A null doc_id is not held out, is scored and isn't learnt from.
+A text of any length is read whole, at about 100 bytes of memory a byte.  Rows are handled one by one; extra columns pass through.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import M1, PUNCTUATION, held_out, mixed, slices, text_bytes, trimmed, word_hashes
+from tessera.llm.common import M1, PUNCTUATION, held_out, mixed, slices, small_batches, text_bytes, text_column, trimmed, word_hashes
 
-#: Bound of what is fitted on.
+#: Bounds of what is fitted on: labelled ids, and bytes of their features.
 SAMPLE_ROWS = 16_000
+SAMPLE_BYTES = 160_000_000
 BITS = 21
 EPOCHS = 4
 THRESHOLD = 0.3
@@ -95,56 +95,62 @@ def trained(rows: list[tuple[np.ndarray, int]], bits: int = BITS, epochs: int =
     return Model(index, weights(index), float(-zb / ((BETA + nb**0.5) / ALPHA + L2)), bits)
 
 
-def fitted(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
+def fitted(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Model of labelled documents that aren't held out."""
-    usable = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(key))
+    small_batches(docs.sparkSession)
+    usable = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(key)).groupBy(F.col(key).alias("k")).agg(F.max(label).alias("y"))
     n = usable.count()
     if n > rows:  # a slice of the hash's range that holds about the bound, then the bound itself
-        usable = usable.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 1.1 * rows / n)))
-    picked = usable.groupBy(key).agg(F.max(label).alias("y")).orderBy(F.xxhash64(key), key).limit(rows)
-    both = docs.select(F.col(key), F.col(text).alias("text")).join(F.broadcast(picked), key)
+        usable = usable.where(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 1.1 * rows / n)))
+    picked = usable.orderBy(F.xxhash64("k"), "k").limit(rows)
+    own = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(F.broadcast(picked), "k")
+    own = own.groupBy("k").agg(F.max("y").alias("y"), F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select(F.col("k").cast("string"), F.col("y").cast("int"), "t.text")
 
     def run(batches):
         for part in slices(batches, "text"):
-            f, own = features(*text_bytes(part.column("text")))
-            order = np.argsort(own, kind="stable")
+            f, of = features(*text_bytes(part.column("text")))
+            order = np.argsort(of, kind="stable")
             f = f[order]
-            ends = np.cumsum(np.bincount(own, minlength=part.num_rows))
+            ends = np.cumsum(np.bincount(of, minlength=part.num_rows))
             found = [np.unique(f[a:b]).astype("<i4").tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("k"), part.column("y"), pa.array(found, pa.binary())], ["k", "y", "f"])
 
     def train(batches):
-        rows = []
+        learnt, held = [], 0
         for batch in batches:
             at, raw = text_bytes(batch.column("f"))
-            for i, (k, y) in enumerate(zip(batch.column("k").to_pylist(), batch.column("y").to_pylist(), strict=True)):
-                rows.append((zlib.crc32(k.encode()), k, len(rows), raw[at[i] : at[i + 1]].view("<i4"), int(y > 0)))
-        rows.sort(key=lambda r: r[:3])
-        model = trained([r[3:] for r in rows])
-        del rows
+            for i, y in enumerate(batch.column("y").to_pylist()):
+                held += int(at[i + 1] - at[i])
+                if held <= size:
+                    learnt.append((raw[at[i] : at[i + 1]].view("<i4").copy(), int(y > 0)))
+        model = trained(learnt)
+        del learnt
         trimmed()
         yield pa.RecordBatch.from_arrays([pa.array([model.index.astype("<i8").tobytes()]), pa.array([model.weight.tobytes()]), pa.array([float(model.bias)])], ["i", "w", "bias"])
 
-    made = both.select(F.col(key).cast("string").alias("k"), F.col("y").cast("int").alias("y"), "text").mapInArrow(run, "k string, y int, f binary")
     # the sample is bounded, and one task trains on it: only sparse weights reach the driver
-    best = made.repartition(1).mapInArrow(train, "i binary, w binary, bias double").first()
+    made = own.mapInArrow(run, "k string, y int, f binary").repartition(1).sortWithinPartitions(F.crc32("k"), "k")
+    best = made.mapInArrow(train, "i binary, w binary, bias double").first()
+    if best is None:
+        return trained([])
     return Model(np.frombuffer(best.i, "<i8").copy(), np.frombuffer(best.w, np.float64).copy(), best.bias)
 
 
-def score(docs: DataFrame, model: Model, column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs' columns, with score and predicted."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [f for f in docs.schema.fields if f.name not in ("score", "predicted")]
-    keep = [f.name for f in kept]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "score double, predicted int"])
+def scored(spark: SparkSession, model: Model, column: str = "text"):
+    """The score of a text column; only the texts go to Python."""
+    small_batches(spark)
+    shared = spark.sparkContext.broadcast(model)
 
-    def run(batches):
+    def run(texts: pa.Array) -> pa.Array:
         own = shared.value
-        for part in slices(batches, column):
-            s = own.scores(part.column(column)) if np.isfinite(own.bias) else np.zeros(part.num_rows)
-            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*keep, "score", "predicted"])
+        return pa.array(own.scores(texts) if np.isfinite(own.bias) else np.zeros(len(texts)))
 
-    return docs.select(*keep).mapInArrow(run, schema)
+    return text_column(run, "double")(F.col(column))
+
+
+def score(docs: DataFrame, model: Model, column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """docs' columns, with score and predicted; columns of these names are replaced."""
+    return docs.withColumn("score", scored(docs.sparkSession, model, column)).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def _model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Model:
@@ -158,4 +164,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """documents without those predicted toxic."""
-    return score(docs, _model(spark, docs, sf_dir)).where(F.col("predicted") == 0).select(*docs.columns)
+    return docs.where(scored(spark, _model(spark, docs, sf_dir)) < THRESHOLD)
