@@ -1,18 +1,22 @@
 """Operator 4: language identification by cross-parsing entropy.
 
 For each language a suffix automaton is built from labelled text.  A text is parsed greedily into the
-longest phrases that occur in a language's text; the language that needs the fewest phrases per character
-wins.  All texts of a slice walk the automata together: whole texts are laid out in lanes of LANE
-characters, at whose borders every language's parse starts anew, and one numpy step moves all lanes.
+longest phrases that occur in a language's text; the language that needs the fewest normalised phrases wins.  As the
+longest matches grow with the logarithm of the text they are searched in, phrases are multiplied by that of the
+language's sample: unequal samples don't favour the larger one.  A letter that a language's sample lacks is a phrase and
+counts twice, as it takes more to tell than one that is there.  All texts of a slice walk the automata together: whole
+texts are laid out in lanes of LANE characters, one numpy step moves all lanes, and each lane whose phrase before its border
+goes on is walked again from that state until both walks agree, so that the parse is the one of the whole text.
 
 Fitting takes a bounded sample of labelled rows: per language SAMPLE_CHARS characters of at most
-SAMPLE_ROWS rows, ROW_CHARS of each; every language and every letter of the samples is learnt, and prediction
-reads every whole text.
+SAMPLE_ROWS distinct rows, ROW_CHARS of each, in the order of a hash of the row; every language and every letter of the samples
+is learnt, and prediction reads every whole text.
 
 Defined results: und with score 0 where the text is null, empty or has no letter, or where nothing was
-learnt (the pipeline's stage then keeps all texts with a letter); equal phrase counts go to the smaller language value; the score is 1 less the ratio of the fewest
-to the second fewest phrases (1 if only one language was learnt).  A null doc_id counts as not held out
-and isn't learnt from.  Rows are handled one by one; extra columns aren't read.
+learnt (the pipeline's stage then keeps all texts with a letter); equal normalised counts go to the smaller language value; the
+score is 1 less the ratio of the fewest to the second fewest (1 if only one language was learnt).  A null doc_id counts as not
+held out and isn't learnt from; repeated rows are learnt once.  A text of any length is read whole, at about 40 bytes of memory a
+character.  Rows are handled one by one; extra columns pass through.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import by_ids, held_out, slices
+from tessera.llm.common import held_out, small_batches, text_column
 
 #: Bounds of what is fitted on: characters and rows per language.
 SAMPLE_CHARS = 40_000
@@ -32,12 +36,14 @@ ROW_CHARS = 1_000
 #: Cells of all automata's total tables together; further automata keep only the transitions they have.
 DENSE_CELLS = 1 << 24
 LANE = 256
+#: Rounds in which all unfinished lanes are walked together; beyond, one by one.
+ROUNDS = 3
 #: Classes of characters: padding, everything but letters, letters that aren't in the samples; letters follow.
 PAD, SPACE, OTHER = 0, 1, 2
 UNDETERMINED = "und"
 #: The pipeline's stage rejects texts of UNKNOWN_LEAST characters and more of which even the best language needs more
 #: than UNKNOWN phrases a character.  Texts of learnt languages need up to 0.28 on sf0.1, random letters 0.68, letters
-#: that no language has 1.
+#: that no language has 2.
 UNKNOWN = 0.6
 UNKNOWN_LEAST = 20
 
@@ -119,6 +125,60 @@ class Automaton:
             value = np.where(self.keys[at] == key, self.table[at], value)
         return np.where(codes == PAD, state * 2, value)
 
+    def begun(self, steps: np.ndarray, follows: np.ndarray) -> np.ndarray:
+        """Phrases that begin in each lane (a column of steps); a lane that follows goes on from the one before."""
+        states, flags = np.empty(steps.shape, self.table.dtype), np.empty(steps.shape, bool)
+        entry = np.full(steps.shape[1], self.start, self.table.dtype)
+        state = entry
+        for r, row in enumerate(steps):
+            value = self.step(state, row)
+            state = value >> 1
+            states[r], flags[r] = state, value & 1
+
+        def changed() -> np.ndarray:
+            """Lanes that were walked from another state than the lane before ends in; walked from now on from that."""
+            i = np.flatnonzero(follows)
+            i = i[entry[i] != states[-1, i - 1]]
+            entry[i] = states[-1, i - 1]
+            return i
+
+        for _ in range(ROUNDS):
+            lanes = changed()
+            if not len(lanes):
+                break
+            state = entry[lanes]
+            for r, row in enumerate(steps):
+                value = self.step(state, row[lanes])
+                state = value >> 1
+                apart = state != states[r, lanes]
+                flags[r, lanes] = value & 1
+                if not apart.all():
+                    lanes, state = lanes[apart], state[apart]
+                    if not len(lanes):
+                        break
+                states[r, lanes] = state
+        else:
+            self._chased(steps, follows, states, flags, entry, changed())
+        return flags.sum(axis=0, dtype=np.int64)
+
+    def _chased(self, steps: np.ndarray, follows: np.ndarray, states: np.ndarray, flags: np.ndarray, entry: np.ndarray, lanes: np.ndarray) -> None:
+        """The rest of begun(), lane after lane: texts of which walks from different states seldom agree."""
+        n = steps.shape[1]
+        for i in lanes.tolist():
+            state, r = int(entry[i]), 0
+            while True:
+                value = int(self.table[state + steps[r, i]] if self.keys is None else self.step(np.array([state]), steps[r, i : i + 1])[0])
+                flags[r, i], state = value & 1, value >> 1
+                if state == states[r, i]:
+                    break
+                states[r, i] = state
+                r += 1
+                if r == len(steps):
+                    i, r = i + 1, 0
+                    if i >= n or not follows[i]:
+                        break
+                    entry[i] = state
+
 
 class Model:
     """Languages, letter classes and automata of labelled texts."""
@@ -126,6 +186,8 @@ class Model:
     def __init__(self, texts: dict[str, list[str]], chars: int = SAMPLE_CHARS):
         self.languages = sorted(texts)
         codes = {k: self._points(" ".join(texts[k]))[:chars] for k in self.languages}
+        #: What phrases in each language are multiplied by.
+        self.norm = np.array([np.log2(max(2, len(codes[k]))) for k in self.languages])
         every = np.concatenate([np.zeros(0, np.uint32), *codes.values()])
         self.letters = np.unique(every[is_letter()[every]])
         self.width = OTHER + 1 + len(self.letters)
@@ -187,14 +249,10 @@ class Model:
         steps = np.ascontiguousarray(grid.reshape(-1, LANE).T)
         of = np.repeat(np.arange(len(texts)), lanes)
         out = np.zeros((len(texts), len(self.languages)), np.int64)
+        follows = np.concatenate([[False], of[1:] == of[:-1]]) if len(of) else np.zeros(0, bool)
         for j, (a, own) in enumerate(zip(self.automata, self.own, strict=True)):
-            state = np.full(steps.shape[1], a.start, a.table.dtype)
-            begun = np.zeros(steps.shape[1], np.int32)
-            for row in steps:
-                value = a.step(state, own.take(row))
-                begun += value & 1
-                state = value >> 1
-            out[:, j] = np.bincount(of, begun, minlength=len(texts)).astype(np.int64)
+            read = own.take(steps)
+            out[:, j] = np.bincount(of, a.begun(read, follows) + (read == OTHER).sum(axis=0), minlength=len(texts)).astype(np.int64)
         return out, lettered, size
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -206,10 +264,12 @@ class Model:
         n, lettered, size = self._parsed(texts)
         if not self.languages:
             return [UNDETERMINED] * len(texts), np.zeros(len(texts)), lettered
-        best = n.argmin(axis=1)
+        cost = n * self.norm
+        best = cost.argmin(axis=1)
         fewest = n[np.arange(len(texts)), best]
         if len(self.languages) > 1:
-            score = 1 - fewest / np.maximum(1, np.partition(n, 1, axis=1)[:, 1])
+            least = np.partition(cost, 1, axis=1)
+            score = 1 - least[:, 0] / np.maximum(1, least[:, 1])
         else:
             score = np.ones(len(texts))
         known = lettered & ((size < UNKNOWN_LEAST) | (fewest <= UNKNOWN * size))
@@ -233,57 +293,48 @@ def agreed(texts: dict[str, list[str]], chars: int = SAMPLE_CHARS) -> dict[str,
 
 
 def fitted(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model:
-    """Model of labelled rows that aren't held out; the first rows of each language by a hash of the key."""
+    """Model of labelled rows that aren't held out; the first distinct rows of each language by a hash of the row."""
     learnt = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull() & ~held_out(key))
-    counts = learnt.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).collect()
+    learnt = learnt.select(F.col(lang).alias("lang"), F.xxhash64(key, text).alias("h"), F.substring(F.col(text), 1, ROW_CHARS).alias("text"))
+    counts = learnt.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()
     if not counts:
         return Model({}, chars)
-    # of each language a slice of the hash's range that holds about twice the bound, then the bound itself
-    part = labelled.sparkSession.createDataFrame([(r.lang, int((1 << 30) * min(1.0, 2 * rows / r.n))) for r in counts], "lang string, part long")
-    sliced = learnt.select(F.col(lang).alias("lang"), F.col(key).alias("k")).join(F.broadcast(part), "lang").where(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) <= F.col("part"))
-    order = Window.partitionBy("lang").orderBy("h", "k")
-    picked = sliced.select("lang", F.xxhash64("k").alias("h"), "k").withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows)
-    ids = picked.select("k").distinct()
-    most = sum(min(rows, r.n) for r in counts)
+    # of each language a slice of the hash's range that holds about twice the bound, then the bounds themselves
+    part = labelled.sparkSession.createDataFrame([(r.lang, int((1 << 30) * min(1.0, 2 * rows / max(1, r.n)))) for r in counts], "lang string, part long")
+    sliced = learnt.join(F.broadcast(part), "lang").where(F.pmod(F.xxhash64("h"), F.lit(1 << 30)) <= F.col("part"))
+    own = Window.partitionBy("lang").orderBy("h")
+    ranked = sliced.groupBy("lang", "h").agg(F.min("text").alias("text")).withColumn("i", F.row_number().over(own)).where(F.col("i") <= rows)
+    before = F.coalesce(F.sum(F.length("text") + 1).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     texts: dict[str, list[str]] = {}
-    used: dict[str, int] = {}
-    found = learnt.select(F.col(key).alias("k"), F.col(lang).alias("lang"), F.substring(F.col(text), 1, ROW_CHARS).alias("text"))
-    for r in by_ids(found, ids, "k", "left_semi", most).orderBy(F.xxhash64("k"), "k", "lang", "text").toLocalIterator():
-        if used.get(r.lang, 0) < chars:
-            texts.setdefault(r.lang, []).append(r.text)
-            used[r.lang] = used.get(r.lang, 0) + len(r.text) + 1
+    for r in ranked.withColumn("before", before).where(F.col("before") < chars).orderBy("lang", "h").select("lang", "text").collect():
+        texts.setdefault(r.lang, []).append(r.text)
     return Model(agreed(texts, chars), chars)
 
 
-def identify(docs: DataFrame, model: Model, column: str = "text") -> DataFrame:
-    """docs' columns, with lang_pred and score; the whole text is read."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
-    keep = [f.name for f in kept]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "lang_pred string, score double"])
+def identified(spark: SparkSession, model: Model, column: str = "text"):
+    """What model says of a text column, as (lang, score, known); only the texts go to Python."""
+    small_batches(spark)
+    shared = spark.sparkContext.broadcast(model)
 
-    def run(batches):
-        own = shared.value
-        for part in slices(batches, column):
-            lang, score = own.predict(part.column(column).to_pylist())
-            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
+    def run(texts: pa.Array) -> pa.Array:
+        lang, score, known = shared.value.judged(texts.to_pylist())
+        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(known, pa.bool_())], ["lang", "score", "known"])
 
-    return docs.select(*keep).mapInArrow(run, schema)
+    return text_column(run, "lang string, score double, known boolean")(F.col(column))
+
+
+def identify(docs: DataFrame, model: Model, column: str = "text") -> DataFrame:
+    """docs' columns, with lang_pred and score; the whole text is read.  Columns of these names are replaced."""
+    found = identified(docs.sparkSession, model, column)
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
+    return docs.select(*kept, found.alias("_tessera_found")).select(*kept, F.col("_tessera_found.lang").alias("lang_pred"), F.col("_tessera_found.score").alias("score"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    model = fitted(docs)
-    return identify(docs.select("doc_id", held_out().alias("held_out"), "text"), model).drop("text")
+    return identify(docs.select("doc_id", held_out().alias("held_out"), "text"), fitted(docs)).drop("text")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """documents without those that have no letter or, by their phrases, are in no learnt language (UNKNOWN)."""
-    shared = spark.sparkContext.broadcast(fitted(docs))
-
-    def run(batches):
-        own = shared.value
-        for part in slices(batches):
-            yield part.filter(pa.array(own.judged(part.column("text").to_pylist())[2]))
-
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(identified(spark, fitted(docs))["known"])

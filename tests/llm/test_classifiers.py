@@ -57,7 +57,9 @@ def test_language_id_odd_rows(spark):
     got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(df, model).collect()}
     assert got[1] == got[2] == got[3] == ("und", 0.0)
     assert got[None][0] == got[4][0] == "en" and got[4][1] > 0.3
-    assert got[5] == ("de", 0.0)  # a tie goes to the smaller value
+    assert got[5][0] == "de" and got[5][1] < 0.1  # a letter that no sample has
+    found, score = language_id.Model({"b": ["xy"], "a": ["zw"]}).predict(["q", "qq q"])
+    assert found == ["a", "a"] and score.tolist() == [0, 0]  # a tie goes to the smaller value
     assert language_id.identify(df.limit(0), model).count() == 0
     none = language_id.fitted(train.limit(0))
     assert {r.lang_pred for r in language_id.identify(df, none).collect()} == {"und"}
@@ -108,6 +110,63 @@ def test_lanes_keep_whole_texts():
     assert ok.all() and n[0].argmin() == 1 and n[1].argmin() == 0
 
 
+def naive_cost(model, text: str) -> list[float]:
+    """Normalised phrases of a whole text by substring search, language by language."""
+    out = []
+    for k in model.languages:
+        sample = model.samples[k]
+        codes = re.sub(r"[^a-z]+", " ", text.lower())
+        out.append((naive_phrases(list(map(ord, codes)), list(map(ord, sample))) + sum(c not in sample for c in codes)) * np.log2(len(sample)))
+    return out
+
+
+def test_whole_predictions_equal_a_naive_parser():
+    rng = np.random.default_rng(8)
+    words = {k: ["".join(map(chr, 97 + rng.choice(26, rng.integers(2, 7), p=p))) for _ in range(60)] for k, p in zip("ab", rng.dirichlet(np.ones(26) / 2, 2), strict=True)}
+    make = lambda k, n: " ".join(rng.choice(words[k], n))
+    texts = {"a": [make("a", 120)], "b": [make("b", 30)]}
+    model = language_id.Model(texts)
+    model.samples = {k: v[0] for k, v in texts.items()}
+    asked = [make(k, n) + make(j, m) for k, j, n, m in [("a", "b", 5, 2), ("b", "a", 300, 9), ("a", "a", 150, 150), ("b", "b", 1, 1)]] + ["zz " * 700, "ab" * 900]
+    found, score = model.predict(asked)
+    for text, lang, s in zip(asked, found, score, strict=True):
+        cost = naive_cost(model, text)
+        assert lang == model.languages[int(np.argmin(cost))] and abs(s - (1 - min(cost) / max(cost))) < 1e-12
+    assert model.phrases(["ab" * 900])[0].tolist() == language_id.Model(texts).phrases(["ab" * 900])[0].tolist()
+
+
+def test_lanes_go_on_from_the_lane_before(monkeypatch):
+    rng = np.random.default_rng(9)
+    sample = "".join(map(chr, 97 + rng.integers(0, 3, 500))) + "ab" * 40
+    asked = ["".join(map(chr, 97 + rng.integers(0, 4, n))) for n in (5, 300, 4000)] + ["ab" * 3000, "a" * 2000, ""]
+    for cells in (language_id.DENSE_CELLS, 0):
+        monkeypatch.setattr(language_id, "DENSE_CELLS", cells)
+        found = language_id.Model({"x": [sample]}).phrases(asked)[0][:, 0].tolist()
+        assert found == [naive_phrases(list(map(ord, t)), list(map(ord, sample))) + sum(c not in sample for c in t) for t in asked]
+
+
+def test_unequal_samples_and_disjoint_alphabets():
+    rng = np.random.default_rng(10)
+    alphabet = {"x": 0x4E00, "y": 0x6E00}
+    script = lambda k, n: "".join(map(chr, alphabet[k] + rng.integers(0, 3000, n)))
+    model = language_id.Model({k: [script(k, 20_000)] for k in alphabet})  # two letters in a row seldom stand in the sample
+    asked = [(k, script(k, 60)) for k in alphabet for _ in range(50)]
+    assert model.predict([t for _, t in asked])[0] == [k for k, _ in asked]
+    # the same source of words, ten times the sample for one: the larger one isn't favoured
+    words = {k: ["".join(map(chr, 97 + rng.integers(0, 12, 5))) for _ in range(300)] for k in "ab"}
+    make = lambda k, n: " ".join(rng.choice(words[k], n))
+    model = language_id.Model({"a": [make("a", 6000)], "b": [make("b", 140)]})
+    asked = [(k, make(k, 40)) for k in "ab" for _ in range(60)]
+    right = sum(a == b for a, (b, _) in zip(model.predict([t for _, t in asked])[0], asked, strict=True))
+    assert right >= 0.97 * len(asked)
+
+
+def test_sample_is_of_rows_however_ids_repeat(spark):
+    many = [(i % 20, f"the cat {i} and the dog {'abcdefghij'[i % 10]}", "en") for i in range(3000)] + [(next(i for i in range(20) if not out(i)), "der hund und die katze", "de")] * 2000
+    model = language_id.fitted(spark.createDataFrame(many, "doc_id long, text string, lang string"), rows=50)
+    assert model.languages == ["de", "en"] and len(model.letters) > 10
+
+
 def test_texts_in_another_language_are_not_learnt():
     texts = {"en": ["the cat and the dog", "a cat of the house", "the dog is here", "le chat dans la maison"] * 4, "fr": ["le chat et le chien", "dans la maison", "la chatte est la", "le chien est ici"] * 4}
     assert "le chat dans la maison" not in language_id.agreed(texts)["en"]
@@ -155,6 +214,43 @@ def test_toxicity_odd_rows(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_training_equals_a_scalar_ftrl():
+    rng = np.random.default_rng(4)
+    rows = [(np.unique(rng.integers(0, 64, rng.integers(0, 12))), int(rng.random() < 0.4)) for _ in range(300)]
+    model = toxicity.trained(rows, bits=6, epochs=2)
+    z, n, zb, nb = [0.0] * 64, [0.0] * 64, 0.0, 0.0
+
+    def weight(zi, ni, l1):
+        return 0.0 if abs(zi) <= l1 else -(zi - (l1 if zi > 0 else -l1)) / ((toxicity.BETA + ni**0.5) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(2):
+        for index, y in rows:
+            w = {int(i): weight(z[i], n[i], toxicity.L1) for i in index}
+            wb = weight(zb, nb, 0.0)
+            g = 1 / (1 + np.exp(-(sum(w.values()) + wb))) - y
+            for i, v in w.items():
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / toxicity.ALPHA * v
+                n[i] += g * g
+            zb += g - ((nb + g * g) ** 0.5 - nb**0.5) / toxicity.ALPHA * wb
+            nb += g * g
+    want = {i: weight(z[i], n[i], toxicity.L1) for i in range(64) if abs(z[i]) > toxicity.L1}
+    assert want and model.index.tolist() == sorted(want)
+    assert np.allclose(model.weight, [want[i] for i in sorted(want)]) and abs(model.bias - weight(zb, nb, 0.0)) < 1e-9
+
+
+def test_training_takes_one_text_an_id_and_no_more_than_its_bytes(spark):
+    rows = [(i % 8, f"word{i % 3} " * 5) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i % 8, i % 2) for i in range(500)], "doc_id long, toxic int")
+    a = toxicity.fitted(docs.repartition(1), labels)
+    b = toxicity.fitted(docs.repartition(7), labels.repartition(3))
+    assert a.index.tolist() == b.index.tolist() and a.bias == b.bias
+    none = toxicity.fitted(docs, labels, size=0)
+    assert not np.isfinite(none.bias) and {r.score for r in toxicity.score(docs.limit(3), none).collect()} == {0.0}
+    long = spark.createDataFrame([(1, "bad words " * 300_000), (2, "")], "doc_id long, text string")
+    assert toxicity.score(long, a).count() == 2
+
+
 PAGE = """<html><head><title>T</title></head><body class="has-sidebar"><header><h1>Site</h1><nav><a href=x>Home</a></nav></header><div class="cookie-notice">We use cookies</div>
 <main><article><header><h1>My Title</h1><p class=byline>By X</p></header><p>First with <a href="x">link</a> &amp; more&nbsp;text.<p>Second<br>line<aside>Related</aside><ul><li>one<li>two</ul><div class="ad">Buy</div>
 <form><input><button>Send</button></form><section id="comments"><h2>Comments</h2><p>A reader says hi in a comment of several words</p></section></article></main><footer>f</footer><script>if(a<b){"</p>"}</script></body></html>"""
