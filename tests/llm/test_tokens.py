@@ -110,3 +110,16 @@ def test_bpe_query_and_odd_rows(spark):
         assert out[r.doc_id].n_tokens == len(e.ids)
         assert out[r.doc_id].ids_sha256 == sha256(np.array(e.ids, "<u4").tobytes()).hexdigest()
         assert out[r.doc_id].decoded_sha256 == sha256(lib.decode(e.ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_words_together_equal_words_one_by_one():
+    rng = np.random.default_rng(2)
+    letters = list("abcé的😀")
+    word = lambda n: "".join(rng.choice(letters, n))
+    for with_bytes in (False, True):
+        pieces = {word(int(rng.integers(1, 6))): -float(rng.integers(1, 6)) for _ in range(60)} | {"a": -2.0, "aa": -4.0, "": -1.0}
+        if with_bytes:
+            pieces |= {f"<0x{b:02X}>": -9.0 for b in range(256)}
+        c = token_counts.Counter(list(pieces.items()))
+        asked = [word(int(rng.integers(0, 40))) for _ in range(500)] + ["a" * 400, "", "b\n"]
+        assert c.words(asked) == [c.word(w) for w in asked]
