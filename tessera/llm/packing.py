@@ -10,9 +10,12 @@ are dealt by hash into shards of about SHARD pieces, each packed alone and in or
 * at the end each bin shrinks to the least permitted length that holds its contents.
 
 A shard's bins number from 0, so (shard, bin) names a bin.  Shards are bounded; no row is left out.
+Rows of equal id and length are counted and numbered by that count, so that the result depends on the rows alone, not on
+their order or partitions, and a hot id isn't gathered.
 
 Defined results: a null or empty text, or one of 0 tokens, makes no piece and gives no row.  Ties of length go
-to the smaller id.  Repeated rows are pieces of their own; a null id is packed like any other.
+to the smaller id (null first), then piece, then the shorter text, then number of the repetition.  Repeated rows are pieces of their own; a null id is
+packed like any other.  A text of any length is packed whole.  Extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -24,7 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.bpe import tokenizer_path
 from tessera.llm.common import written
+from tessera.llm.token_counts import token_counts, vocabulary
 
 #: Permitted sequence lengths, in tokens.
 LENGTHS = (512, 1024, 2048, 4096, 8192)
@@ -32,6 +37,8 @@ LENGTHS = (512, 1024, 2048, 4096, 8192)
 OVERHEAD = 32
 #: Pieces of a shard.
 SHARD = 20_000
+#: Rows of equal id and length, or pieces of a text, that one row is unfolded to at a time.
+UNFOLDED = 1_000
 
 
 def pack(lengths: list[int], permitted: tuple[int, ...] = LENGTHS, overhead: int = OVERHEAD) -> tuple[list[int], list[int], list[int]]:
@@ -67,15 +74,24 @@ def packed(docs: DataFrame, key: str = "doc_id", length: str = "n_tokens", permi
     permitted = tuple(sorted(permitted))
     most = permitted[-1]
     n = F.col(length).cast("long")
-    pieces = docs.where(n > 0).select(F.col(key).cast("long").alias("doc_id"), n.alias("n")).withColumn("row", F.monotonically_increasing_id())
-    pieces = pieces.select("doc_id", "row", "n", F.explode(F.sequence(F.lit(0), ((F.col("n") - 1) / most).cast("int"))).alias("piece"))
-    pieces = pieces.select("doc_id", "row", "piece", (F.col("piece").cast("long") * most).alias("start"), F.least(F.lit(most).cast("long"), F.col("n") - F.col("piece").cast("long") * most).alias("n_tokens"))
-    pieces = written(pieces, "pieces")
-    shards = max(1, -(-pieces.count() // shard))
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "row", "piece"), F.lit(shards)).cast("int"))
+    rows = docs.where(n > 0).select(F.col(key).cast("long").alias("doc_id"), n.alias("n")).groupBy("doc_id", "n").agg(F.count("*").alias("times"))
+    rows = written(rows, "lengths")
+    whole = F.ceil(F.col("n") / most)
+    pieces = rows.agg(F.sum(F.col("times") * whole)).first()[0] or 0
+    shards = max(1, -(-pieces // shard))
+
+    def unfolded(df: DataFrame, many, name: str) -> DataFrame:
+        """A row for each number below many, in two steps, so that a row of many is dealt out between them."""
+        steps = df.withColumn("_block", F.explode(F.sequence(F.lit(0), ((many - 1) / UNFOLDED).cast("long"))))
+        last = F.least(many, (F.col("_block") + 1) * UNFOLDED) - 1
+        return steps.withColumn(name, F.explode(F.sequence(F.col("_block") * UNFOLDED, last))).drop("_block")
+
+    each = unfolded(unfolded(rows, F.col("times"), "repetition"), whole, "piece")
+    each = each.select("doc_id", "n", "repetition", F.col("piece").cast("int").alias("piece"), (F.col("piece") * most).alias("start"), F.least(F.lit(most).cast("long"), F.col("n") - F.col("piece") * most).alias("n_tokens"))
+    dealt = each.withColumn("shard", F.pmod(F.xxhash64("doc_id", "n", "repetition", "piece"), F.lit(shards)).cast("int"))
 
     def run(key_, table):
-        order = np.lexsort((np.asarray(table["row"]), np.asarray(table["piece"]), np.asarray(table["doc_id"].fill_null(-(1 << 63))), -np.asarray(table["n_tokens"])))
+        order = np.lexsort((np.asarray(table["repetition"]), np.asarray(table["n"]), np.asarray(table["piece"]), np.asarray(table["doc_id"].fill_null(-(1 << 63))), -np.asarray(table["n_tokens"])))
         table = table.take(pa.array(order))
         where, offset, capacity = pack(table["n_tokens"].to_pylist(), permitted, overhead)
         return pa.table({
@@ -92,7 +108,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each document's tokens go, by the token counts of operator 1."""
-    from tessera.llm.bpe import tokenizer_path
-    from tessera.llm.token_counts import token_counts, vocabulary
-
     return packed(token_counts(docs.select("doc_id", "text"), vocabulary(tokenizer_path("piece_bpe_32k.model"))))

@@ -84,9 +84,47 @@ def test_pipeline_stages_equal_their_parts(spark):
     assert set(texts[2]) <= set(texts[1]) <= set(texts[0]) and len(texts[2]) >= 0.8 * len(texts[0])
     near = groups(sorted(texts[2].items()), 5, 80)
     assert set(texts[3]) == {i for i, (_, c) in near.items() if c == i}
-    cut = cuts(sorted(texts[3].items()))
+    cut = cuts(sorted((i, t) for i, t in texts[3].items() if t is not None))
     assert all((texts[4].get(i) == texts[3][i]) == (n == 0) for i, n in cut.items())
     packed = {r.doc_id for r in frames[5].collect()}
     assert packed == {i for i, t in texts[4].items() if t}
     assert sorted(map(str, corpus_pipeline.run(spark, sf).select("doc_id", "piece", "n_tokens").collect())) == sorted(map(str, frames[5].select("doc_id", "piece", "n_tokens").collect()))
     assert near_text.stage and substrings.stage
+
+
+def plain_pack(lengths, permitted, overhead):
+    """Best fit, least-cost opening and downsizing, piece after piece over plain lists."""
+    bins, where = [], []
+    for i, length in enumerate(lengths):
+        fits = [b for b in range(len(bins)) if bins[b][0] - bins[b][1] >= length]
+        if fits:
+            b = min(fits, key=lambda b: (bins[b][0] - bins[b][1], b))
+        else:
+            def cost(c, i=i, length=length):
+                rest = sorted(x for x in lengths[i + 1 :] if x <= c - length)
+                return (c + overhead) / (length + min(c - length, sum(rest)))
+
+            b = len(bins)
+            bins.append([min((c for c in permitted if c >= length), key=lambda c: (cost(c), c)), 0])
+        where.append((b, bins[b][1]))
+        bins[b][1] += length
+    return where, [min(c for c in permitted if c >= used) for _, used in bins]
+
+
+def test_equals_a_plain_packer():
+    rng = random.Random(12)
+    for _ in range(30):
+        lengths = sorted((rng.randint(1, 90) for _ in range(rng.randint(1, 120))), reverse=True)
+        permitted = tuple(sorted(rng.sample(range(90, 300), 3)))
+        where, offset, capacity = packing.pack(lengths, permitted, 7)
+        assert (list(zip(where, offset, strict=True)), capacity) == plain_pack(lengths, permitted, 7)
+
+
+def test_result_does_not_depend_on_partitions(spark):
+    rows = [(i % 50 if i % 3 else None, 1 + i * 37 % 700) for i in range(3000)] + [(9, 25_000), (9, 25_000), (None, 3)] * 5 + [(7, 64)] * 2500
+    df = spark.createDataFrame(rows, "doc_id long, n_tokens long")
+    found = [sorted(map(tuple, packing.packed(df.repartition(n), shard=500).collect()), key=repr) for n in (1, 17)]
+    assert found[0] == found[1]
+    pieces = sum(-(-n // packing.LENGTHS[-1]) for _, n in rows)
+    assert len(found[0]) == pieces and sum(r[3] for r in found[0]) == sum(n for _, n in rows)
+    assert packing.packed(df.limit(0)).count() == 0
