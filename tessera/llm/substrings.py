@@ -2,19 +2,22 @@
 
 The gear hash of the last WINDOW bytes is taken at every byte; a word end whose hash falls below a limit
 ends a chunk, about AVERAGE words after the one before, and MOST_WORDS at most.  Borders depend on nearby bytes alone, so a passage
-has the same chunks wherever it stands, but for its first and last few words.  Chunks are compared by a
-64-bit digest of their words (with their places, so that white space may differ).  The document with the least id keeps a
-chunk, all other documents' chunks of that digest are repeats; within=True counts those after a document's own first
-place too.  Runs of adjacent repeats of LEAST_WORDS words and more are cut from their texts.  With joined=True not chunks but
-windows are compared, the shortest sequences of adjacent chunks of LEAST_WORDS words from each chunk on and up to each
-chunk, so that what is cut stands together in one other document.  The pipeline's stage does so.
+has the same chunks wherever it stands, but for its first and last few words.  Chunks have a 64-bit digest of their words (with
+their places, so that white space may differ).
+
+As short chunks of everyday words occur everywhere, chunks are compared in windows: from each chunk on, the shortest sequence of
+adjacent chunks with LEAST_WORDS words, by a digest of theirs.  What is cut thus stands together in one other document.  The
+document with the least id keeps a window, in all other documents it is a repeat; within=True counts those after a document's
+own first place too.  The chunks of repeats are cut from their texts.  Of a repeated passage less than a chunk's words and
+those of its broken first and last chunk stay at either end.
 
 Tasks reduce equal digests of a slice before the shuffle; the join that marks repeats has one row for each
-digest on its smaller side, so AQE may split a hot digest.
+digest on its smaller side, a table of its own, so AQE may split a hot digest.
 
 Defined results: a null text stays null and has no chunks; a text without words has none.  Rows without an id
 are neither compared nor changed.  Rows of one id are told apart by their texts; equal rows get equal results,
-and texts of one id don't repeat each other.  Columns named like the results' are replaced.
+and texts of one id don't repeat each other.  A text of any length is read whole, at about 100 bytes of memory a byte.
+Columns named like the results' are replaced.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACES, _powers, _values, mixed, slices, text_bytes, word_spans, written
+from tessera.llm.common import SPACES, _powers, _values, mixed, slices, small_batches, text_bytes, word_spans, written
 
 WINDOW = 16
 AVERAGE = 5
@@ -80,42 +83,34 @@ def _again(text: np.ndarray, digest: np.ndarray) -> np.ndarray:
 
 
 def windows(text: np.ndarray, words: np.ndarray, digest: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First chunk, last chunk and digest of the shortest sequences of a text's chunks with least words, from each chunk
-    on and up to each chunk."""
+    """First chunk, last chunk and digest of the shortest sequences of a text's chunks with least words, from each chunk on."""
     to = np.cumsum(words)
-    before = to - words
-    n = len(text)
-    i = np.arange(n)
-    last = np.searchsorted(to, before + least)
-    first = np.searchsorted(before, to - least, "right") - 1
-    a, b = np.concatenate([i, first]), np.concatenate([last, i])
-    inside = (a >= 0) & (b < n)
-    a, b = a[inside], b[inside]
-    same = text[a] == text[b]
-    code = np.unique(a[same] * least + b[same] - a[same])  # a chunk has a word at least
-    a, more = code // least, code % least
+    last = np.searchsorted(to, to - words + least)
+    first = np.flatnonzero(last < len(text))
+    last = last[first]
+    same = text[first] == text[last]
+    first, last = first[same], last[same]
     d = digest.view(np.uint64)
-    out = mixed(d[a] + np.uint64(1)) if n else d[a]
-    for k in range(1, least):
-        longer = np.flatnonzero(more >= k)
+    out = mixed(d[first] + np.uint64(1)) if len(d) else d[first]
+    longer = np.arange(len(first))
+    for k in range(1, least):  # a chunk has a word at least
+        longer = longer[(last - first)[longer] >= k]
         if not len(longer):
             break
-        out[longer] = mixed(out[longer] + d[a[longer] + k])
-    return a, a + more, out.view(np.int64)
+        out[longer] = mixed(out[longer] + d[first[longer] + k])
+    return first, last, out.view(np.int64)
 
 
 def _compared(part, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text, number in the text and digest of what is compared: chunks, or with least windows, numbered by first chunk * least + chunks - 1."""
+    """Of each window: text, number of its first chunk in the text, and digest."""
     text, _, _, words, digest = chunks(*text_bytes(part.column("text")))
-    begin = np.searchsorted(text, text)  # a text's first chunk
-    if not least:
-        return text, np.arange(len(text)) - begin, digest
-    a, b, digest = windows(text, words, digest, least)
-    return text[a], (a - begin[a]) * least + b - a, digest
+    first, _, digest = windows(text, words, digest, least)
+    text_first = np.searchsorted(text, text[first])
+    return text[first], first - text_first, digest
 
 
-def repeated(docs: DataFrame, least: int = 0) -> DataFrame:
-    """(digest, first): digests that several documents of (id, text) have, and the least id."""
+def repeated(docs: DataFrame, least: int) -> DataFrame:
+    """(digest, first): windows that several documents of (id, text) have, and the least id."""
 
     def run(batches):
         for part in slices(batches):
@@ -134,8 +129,8 @@ def repeated(docs: DataFrame, least: int = 0) -> DataFrame:
     return sums.where(F.col("n") > 1).select("digest", "first")
 
 
-def marked(docs: DataFrame, least: int = 0) -> DataFrame:
-    """(id, h, repeats): for texts with repeats, the sorted numbers of the repeated chunks, or with least windows."""
+def marked(docs: DataFrame, least: int) -> DataFrame:
+    """(id, h, repeats): for texts with repeats, the sorted numbers of their first chunks."""
 
     def run(batches):
         for part in slices(batches):
@@ -143,7 +138,8 @@ def marked(docs: DataFrame, least: int = 0) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(text)), part.column("h").take(pa.array(text)), pa.array(i.astype(np.int32)), pa.array(digest)], ["id", "h", "i", "digest"])
 
     rows = docs.mapInArrow(run, "id long, h long, i int, digest long")
-    return rows.join(repeated(docs.select("id", "text"), least), "digest").where(F.col("id") != F.col("first")).groupBy("id", "h").agg(F.array_sort(F.collect_set("i")).alias("repeats"))
+    several = written(repeated(docs.select("id", "text"), least), "repeated")
+    return rows.join(several, "digest").where(F.col("id") != F.col("first")).groupBy("id", "h").agg(F.array_sort(F.collect_set("i")).alias("repeats"))
 
 
 def cut_text(raw: bytes, start: np.ndarray, end: np.ndarray, words: np.ndarray, repeat: np.ndarray, least: int) -> tuple[str, list[tuple[int, int]], int]:
@@ -171,16 +167,17 @@ def cut_text(raw: bytes, start: np.ndarray, end: np.ndarray, words: np.ndarray,
     return text.decode("utf-8", "replace"), spans, n
 
 
-def deduplicated(docs: DataFrame, key: str = "doc_id", column: str = "text", least: int = LEAST_WORDS, within: bool = False, joined: bool = False) -> DataFrame:
+def deduplicated(docs: DataFrame, key: str = "doc_id", column: str = "text", least: int = LEAST_WORDS, within: bool = False) -> DataFrame:
     """docs' columns with the text cut, and n_chunks, n_cut (chunks), words_cut, spans (bytes of the
     text before) of each row."""
     extra = "n_chunks long, n_cut long, words_cut long, spans array<struct<start: long, end: long>>"
     names = [x.split()[0] for x in extra.split(", ") if x.split()[0] != "end:"]
     kept = [f for f in docs.schema.fields if f.name not in names]
     keep = [f.name for f in kept]
+    small_batches(docs.sparkSession)
     own = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(key).cast("long").alias("_tessera_id"), F.xxhash64(column).alias("_tessera_h"))
     compared = own.where(F.col("_tessera_id").isNotNull() & F.col(column).isNotNull()).select(F.col("_tessera_id").alias("id"), F.col("_tessera_h").alias("h"), F.col(column).alias("text"))
-    repeats = marked(compared, least if joined else 0).select(F.col("id").alias("_tessera_id"), F.col("h").alias("_tessera_h"), F.col("repeats").alias("_tessera_repeats"))
+    repeats = marked(compared, least).select(F.col("id").alias("_tessera_id"), F.col("h").alias("_tessera_h"), F.col("repeats").alias("_tessera_repeats"))
     full = own.join(repeats, ["_tessera_id", "_tessera_h"], "left").select(*[F.col(f"`{c}`") for c in keep], F.col("_tessera_id"), "_tessera_repeats")
 
     def run(batches):
@@ -188,18 +185,20 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", column: str = "text", lea
             at, raw = text_bytes(part.column(column))
             text, start, end, words, digest = chunks(at, raw)
             begin = np.searchsorted(text, np.arange(part.num_rows + 1))
-            again = _again(text, digest) if within else np.zeros(len(text), bool)
+            first, last, own = windows(text, words, digest, least)
+            to = np.full(len(text), -1, np.int64)  # the last chunk of the window from each chunk on
+            to[first] = last
+            again = first[_again(text[first], own)] if within else first[:0]
             has = part.column("_tessera_id").is_valid().to_pylist()
             old, marks = part.column(column).to_pylist(), part.column("_tessera_repeats").to_pylist()
             texts, n, cut, cut_words, spans = [], [], [], [], []
             for r in range(part.num_rows):
                 a, b = begin[r], begin[r + 1]
-                repeat = again[a:b].copy()
-                if marks[r] and joined:
-                    for m in marks[r]:
-                        repeat[m // least : m // least + m % least + 1] = True
-                elif marks[r]:
-                    repeat[marks[r]] = True
+                starts = np.concatenate([np.array(marks[r] or [], np.int64), again[(again >= a) & (again < b)] - a]) if within else np.array(marks[r] or [], np.int64)
+                edges = np.zeros(b - a + 1, np.int64)
+                np.add.at(edges, starts, 1)
+                np.add.at(edges, to[a + starts] + 1 - a, -1)
+                repeat = np.cumsum(edges[:-1]) > 0
                 n.append(b - a)
                 if not repeat.any() or not has[r]:
                     found = old[r], [], 0
@@ -225,7 +224,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """documents with repeated passages cut; those of which no word is left go."""
-    out = deduplicated(docs, joined=True)
+    out = deduplicated(docs)
     out = out.where((F.col("words_cut") == 0) | (F.length("text") > 0))
     return out.select(*[F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars") if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
