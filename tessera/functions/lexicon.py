@@ -13,11 +13,13 @@ SUFFIXES = ("ونه", "وها", "وهم", "تهم", "تها", "كم", "هم", "
 
 # Words that tokens leave out.
 STOP_WORDS = (
-    "حدثنا حدثني أخبرنا أخبرني أنبأنا أنبأني روى رواه ذكر سمعت سمعنا عن من إلى بن أبي أبو بنت ابن ابنة أم "
-    "في على مع قال قالت أن إن لا ما هو هي هم هن أنا نحن أنت أنتم كان كانت كانوا يكون ذلك هذا هذه تلك الذي التي الذين وقد قد لم لن "
-    "لقد كل بعض عليه عليها عليهم له لها لهم به بها بهم منه منها منهم فيه فيها وسلم صلى الله رسول النبي عنه عنها رضي ال و ف ب ك ل إله إلا "
-    "يا أو بل ثم حتى إذا لما لو لولا كذلك أيضا إنما إنه وإن فإن وكان فقال وقال قلت قلنا"
-).split()
+    "حدثنا", "حدثني", "أخبرنا", "أخبرني", "أنبأنا", "أنبأني", "روى", "رواه", "ذكر", "سمعت", "سمعنا", "عن", "من", "إلى", "بن", "أبي", "أبو", "بنت",
+    "ابن", "ابنة", "أم", "في", "على", "مع", "قال", "قالت", "أن", "إن", "لا", "ما", "هو", "هي", "هم", "هن", "أنا", "نحن", "أنت", "أنتم", "كان", "كانت",
+    "كانوا", "يكون", "ذلك", "هذا", "هذه", "تلك", "الذي", "التي", "الذين", "وقد", "قد", "لم", "لن", "لقد", "كل", "بعض", "عليه", "عليها", "عليهم", "له",
+    "لها", "لهم", "به", "بها", "بهم", "منه", "منها", "منهم", "فيه", "فيها", "وسلم", "صلى", "الله", "رسول", "النبي", "عنه", "عنها", "رضي", "ال", "و",
+    "ف", "ب", "ك", "ل", "إله", "إلا", "يا", "أو", "بل", "ثم", "حتى", "إذا", "لما", "لو", "لولا", "كذلك", "أيضا", "إنما", "إنه", "وإن", "فإن", "وكان",
+    "فقال", "وقال", "قلت", "قلنا",
+)
 
 # Patterns of rule classes, markers of circumstances, words of topics.
 RULES = {
@@ -75,21 +77,22 @@ VERDICTS = ((3, "sahih"), (2, "hasan"), (1, "daif"))
 # Verbs that part a chain, relatives named in place of a name, words that are no name.
 CHAIN_VERBS = ("حدثنا", "حدثني", "حدثه", "اخبرنا", "اخبرني", "سمعت", "سمعنا", "انبانا", "عن")
 RELATIVES = (
-    "عمه عمي عمته عمتي أمه أمي أخيه أخي أخته أختي خاله خالي خالته خالتي ابنه ابني ابنته ابنتي جدته جدتي زوجها زوجي زوجته مولاه مولاي مولاته مولاها"
-).split()
+    "عمه", "عمي", "عمته", "عمتي", "أمه", "أمي", "أخيه", "أخي", "أخته", "أختي", "خاله", "خالي", "خالته", "خالتي", "ابنه", "ابني", "ابنته", "ابنتي",
+    "جدته", "جدتي", "زوجها", "زوجي", "زوجته", "مولاه", "مولاي", "مولاته", "مولاها",
+)
 NO_NAMES = ("الله", "رسول", "النبي", "ذلك", "هذا", "كان")
 ARTIFACTS = ("يقول", "حدثنا", "حدثني", "أخبرنا", "سمعت", "قال ", "قال:", "عن فلان", "عنه", "عنها", "رضي الله")
 
-# Number words.
-UNITS = {
-    1: ("واحد", "واحدة", "إحدى", "احدى"), 2: ("اثنين", "إثنين", "اثنتين", "إثنتين", "اثنى", "إثنى", "اثنتى"), 3: ("ثلاث", "ثلاثة"),
-    4: ("أربع", "اربع", "أربعة", "اربعة"), 5: ("خمس", "خمسة"), 6: ("ست", "ستة"), 7: ("سبع", "سبعة"), 8: ("ثمان", "ثماني", "ثمانية"), 9: ("تسع", "تسعة"),
+# Number words and their values, and words that end a number.
+NUMBERS = {
+    "واحد": 1, "واحدة": 1, "إحدى": 1, "احدى": 1, "اثنين": 2, "إثنين": 2, "اثنتين": 2, "إثنتين": 2, "اثنى": 2, "إثنى": 2, "اثنتى": 2, "ثلاث": 3, "ثلاثة": 3, "أربع": 4, "اربع": 4, "أربعة": 4, "اربعة": 4, "خمس": 5, "خمسة": 5, "ست": 6, "ستة": 6, "سبع": 7, "سبعة": 7, "ثمان": 8, "ثماني": 8, "ثمانية": 8, "تسع": 9, "تسعة": 9,
+    "عشر": 10, "عشرة": 10, "عشرين": 20, "ثلاثين": 30, "أربعين": 40, "اربعين": 40, "خمسين": 50, "ستين": 60, "سبعين": 70, "ثمانين": 80, "تسعين": 90,
+    "مائة": 100, "مئة": 100, "مائتين": 200, "مئتين": 200,
 }
-TENS = {
-    10: ("عشر", "عشرة"), 20: ("عشرين",), 30: ("ثلاثين",), 40: ("أربعين", "اربعين"), 50: ("خمسين",), 60: ("ستين",), 70: ("سبعين",), 80: ("ثمانين",), 90: ("تسعين",),
-}
-HUNDREDS = {100: ("مائة", "مئة"), 200: ("مائتين", "مئتين")}
-NUMBER_STOPS = "في من أو او بمكة بالمدينة بمصر بالبصرة بالكوفة بدمشق ببغداد وهو وله وقد وكان وقيل رحمه خلافة بين على قال".split()
+NUMBER_STOPS = (
+    "في", "من", "أو", "او", "بمكة", "بالمدينة", "بمصر", "بالبصرة", "بالكوفة", "بدمشق", "ببغداد", "وهو", "وله", "وقد", "وكان", "وقيل", "رحمه", "خلافة",
+    "بين", "على", "قال",
+)
 DEATH_VERBS = ("مات", "توفي", "توفى", "قتل")
 
 # Kunyas too common to tell persons apart; generations and last years that fit a grade.

@@ -17,7 +17,7 @@ VERDICTS = ("ثقة", "صدوق", "ضعيف", "متروك", "كذاب", "مجه
 ALTERNATIVES = ("ويقال", "وقيل")
 PROSE = ("روى\\s", "سمع\\s", "حدث\\s", "مات\\s", "توفي\\s", "ولد\\s", "قال\\s", "ذكره\\s", "كان\\s")
 
-#: Steps of cleaning in order: what goes, and what takes its place.
+# Patterns of what goes from a heading, in the order in which they apply, and what takes its place.
 STEPS = (
     ("#|PageV\\d+P\\d+|ms\\d+", ""),  # marks of the edition
     ("\\[\\s*([^\\]]*?)\\s*-\\s*\\d+\\s*\\]", "$1"),  # a variant with the number of its note

@@ -2,67 +2,57 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessera.functions import lexicon as L
-from tessera.functions.text import col
-
-_VALUE = {w: n for table in (L.UNITS, L.TENS, L.HUNDREDS) for n, ws in table.items() for w in ws}
-_UNIT = {w: n for n, ws in L.UNITS.items() for w in ws}
-_HUNDRED = re.compile("مائة|مئة")
-_MARKS = re.compile(f"[{L.DIACRITICS.encode().decode('unicode_escape')}]")
-
-
-def _amounts(phrase: str) -> list[str]:
-    """The number words a phrase begins with: a leading and is cut off, an or skips its alternative."""
-    out: list[str] = []
-    rest = iter(phrase.split())
-    for word in rest:
-        bare = word[1:] if word[0] == "و" and len(word) > 2 and word[1:] not in ("هو", "له", "قد", "كان", "قيل") else word
-        if bare in _VALUE or _HUNDRED.search(bare):
-            out.append(bare)
-        elif bare in ("أو", "او"):
-            next(rest, None)
-        elif word != "و" and (out or bare in L.NUMBER_STOPS or word in L.NUMBER_STOPS):
-            break
-    return out
-
-
-def number_of(phrase: str | None) -> int | None:
-    """The number that Arabic words spell; None if they spell none."""
-    total = 0
-    for word in _amounts(_MARKS.sub("", phrase or "").strip()):
-        if _HUNDRED.search(word) and word not in L.HUNDREDS[200]:
-            total += 100 * _UNIT.get(_HUNDRED.sub("", word), 1)
-        else:
-            total += _VALUE.get(word, 100)
-    return total or None
-
-
-def year_of(text: str | None) -> int | None:
-    """Year of death that a text names in digits or words, up to 1500."""
-    clean = _MARKS.sub("", text or "")
+from tessera.functions.text import col, strip_marks
+
+#: Words for a hundred alone, which also end compounds as three-hundred.
+_HUNDRED = tuple(w for w, n in L.NUMBERS.items() if n == 100)
+#: The value of each word that may stand in a number, with and without a leading and.
+_VALUES = {
+    a + w: n
+    for a in ("", "و")
+    for w, n in [*L.NUMBERS.items(), *((u + h, 100 * n) for u, n in L.NUMBERS.items() if n < 10 for h in _HUNDRED)]
+}
+_OR = ("أو", "او")
+_AND = "و"
+
+
+def number_in_words(phrase: Column | str) -> Column:
+    """The number that a phrase of Arabic words spells; null if it spells none.
+
+    Each word has a role: a value, an or (the next word is an alternative and counts nothing), an and, an end, or other
+    words, which end a number that has begun.  The values up to the end add up."""
+    table = F.create_map(*[F.lit(x) for kv in _VALUES.items() for x in kv])
+    ends = [w for w in L.NUMBER_STOPS if w not in _OR]
+
+    def valued(w: Column) -> Column:
+        return F.struct(
+            F.coalesce(table[w], F.when(w.rlike("|".join(_HUNDRED)), F.lit(100)), F.lit(0)).alias("value"),
+            F.regexp_replace(w, "^و(?=..)", "").isin(*_OR).alias("alternative"), w.isin(*ends).alias("ends"), (w == _AND).alias("joins"),
+        )
+
+    def read(state: Column, w: Column) -> Column:
+        active = ~state["over"] & ~state["skip"]
+        counts = active & (w["value"] > 0)
+        over = active & ~counts & ~w["alternative"] & ~w["joins"] & (w["ends"] | (state["sum"] > 0))
+        return F.struct((state["sum"] + F.when(counts, w["value"]).otherwise(0)).alias("sum"), (active & w["alternative"]).alias("skip"), (state["over"] | over).alias("over"))
+
+    words = F.filter(F.split(strip_marks(phrase), "\\s+"), lambda w: w != "")
+    start = F.struct(F.lit(0).alias("sum"), F.lit(False).alias("skip"), F.lit(False).alias("over"))
+    return F.nullif(F.aggregate(F.transform(words, valued), start, read)["sum"], F.lit(0))
+
+
+def years(text: Column | str, most: int = 1500) -> Column:
+    """The year of death that a text names in digits, or in words up to a greatest year."""
     verbs = "|".join(L.DEATH_VERBS)
-    digits = re.search(rf"(?:{verbs})\s+(?:في\s+)?سنة\s+(\d+)", clean)
-    if digits:
-        return int(digits[1])
-    told = re.search(rf"(?:{verbs}|وفاته)\s+(?:في\s+)?سنة\s+([؀-ۿ\s]+)", clean)
-    year = number_of(told[1].split("،")[0]) if told else None
-    return year if year and year <= 1500 else None
-
-
-def years(text: Column | str) -> Column:
-    """year_of as a vectorised function."""
-
-    @F.pandas_udf("int")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: year_of(t), na_action="ignore").astype("Int32")
-
-    return run(col(text))
+    clean = strip_marks(text)
+    digits = F.regexp_extract(clean, f"(?:{verbs})\\s+(?:في\\s+)?سنة\\s+(\\d+)", 1).try_cast("int")
+    told = F.regexp_extract(clean, f"(?:{verbs}|وفاته)\\s+(?:في\\s+)?سنة\\s+([\\u0600-\\u06FF\\s]+)", 1)
+    spelt = number_in_words(F.substring_index(told, "،", 1))
+    return F.coalesce(digits, F.when(spelt <= most, spelt))
 
 
 def first_integer(text: Column | str) -> Column:

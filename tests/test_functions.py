@@ -93,8 +93,8 @@ def test_markup(spark):
         ("قتل في سنة خمس أو ست وأربعين", 45), ("مات سنة إحدى ومائتين، وله", 201), ("توفي سنة عشرين وقيل غيرها", 20), ("مات سنة تسع وتسعين بمكة", 99), ("لا شيء", None), (None, None), ("", None), ("مات سنة مائة ألف", 100),
     ],
 )
-def test_years_in_words(text, year):
-    assert N.year_of(text) == year
+def test_years_in_words(spark, text, year):
+    assert one(spark, N.years("t"), t=text) == year
 
 
 def test_years_column(spark):
