@@ -115,3 +115,22 @@ def implausible(grade: Column | str, year: Column | str, level: Column | str, la
     late = T.col(year) > by(last)
     outside = ~T.col(level).between(by({k: v[0] for k, v in spans.items()}), by({k: v[1] for k, v in spans.items()}))
     return F.array_compact(F.array(F.when(F.coalesce(late, F.lit(False)), "year"), F.when(F.coalesce(outside, F.lit(False)), "generation")))
+
+
+def phrase_grade(text: Column | str, table: dict[str, str], default: str = "unknown") -> Column:
+    """The grade of a whole phrase, else of the first phrase of the table that the text holds."""
+    exact = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[F.trim(T.col(text))]
+    return F.coalesce(exact, T.first_class(text, tuple((g, (p,)) for p, g in table.items()), default))
+
+
+def recoded(code: Column | str, table: dict[str, str], default: str | None = None) -> Column:
+    """A code's name; an unlisted one gets the default."""
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[T.col(code)], F.lit(default))
+
+
+def canonical(name: Column | str, variants: dict[str, str]) -> Column:
+    """The canonical spelling of a transliterated name, found without case and extra white space; others stay.
+
+    variants go into the plan: a few thousand at most; join a table of more."""
+    n = F.lower(F.trim(F.regexp_replace(T.col(name), "\\s+", " ")))
+    return F.coalesce(recoded(n, variants), T.col(name))

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessera.functions import lexicon as L
-from tessera.functions.text import col, strip_marks
+from tessera.functions.text import bound, col, strip_marks
 
 #: Words for a hundred alone, which also end compounds as three-hundred.
 _HUNDRED = tuple(w for w, n in L.NUMBERS.items() if n == 100)
@@ -87,8 +87,8 @@ def norm(v: Column | str) -> Column:
 
 def unit(v: Column | str) -> Column:
     """A vector of length 1; the zero vector stays."""
-    n = norm(v)
-    return F.transform(doubles(v), lambda x: x / F.when(n == 0, F.lit(1.0)).otherwise(n))
+    length = F.when(norm(v) == 0, F.lit(1.0)).otherwise(norm(v))
+    return bound(length, lambda n: F.transform(doubles(v), lambda x: x / n))
 
 
 def changed_fields(old: Column | str, new: Column | str) -> Column:

@@ -109,6 +109,13 @@ def best_grade(grade: Column | str, order: list[str], unknown: str = "unknown")
     return F.coalesce(F.min_by(g, F.when(F.coalesce(g != unknown, F.lit(False)), F.struct(*order))), F.lit(unknown))
 
 
+def filled_grade(grade: Column | str, order: list[str], top: Column, unknown: str = "unknown") -> Column:
+    """Aggregate, the older rule of merging: a known grade of the top source counts before all, else the first that is known."""
+    g = T.col(grade)
+    above = F.min_by(g, F.when(top & F.coalesce(g != unknown, F.lit(False)), F.struct(*order)))
+    return F.coalesce(above, best_grade(g, order, unknown))
+
+
 def merged_names(rows: DataFrame, key: str, order: str, names: str) -> DataFrame:
     """(key, names): union of arrays that keeps the order in which values come first."""
     lists = F.array_sort(F.collect_list(F.struct(order, names)))

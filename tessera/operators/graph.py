@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,9 +11,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one only where it is unset."""
+    """The folder that spark.checkpoint.dir names; only a session on this machine alone may leave it unset, and gets a temporary one."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not re.match(r"local(\[|\Z)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
         at = spark.sparkContext.getCheckpointDir()
     return at

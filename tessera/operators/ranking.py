@@ -39,7 +39,10 @@ def global_numbers(df: DataFrame, *order: Column) -> DataFrame:
 
 def shares(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """df with each value's share of its group's or the whole's total."""
-    return df.withColumn("share", F.col(value) / F.sum(value).over(Window.partitionBy(*(by or []))))
+    if by:
+        return df.withColumn("share", F.col(value) / F.sum(value).over(Window.partitionBy(*by)))
+    total = df.agg(F.sum(value).alias("_total"))  # one row
+    return df.join(F.broadcast(total)).withColumn("share", F.col(value) / F.col("_total")).drop("_total")
 
 
 def filled_matrix(counts: DataFrame, rows: DataFrame, columns: DataFrame, value: str) -> DataFrame:
@@ -57,8 +60,10 @@ def overlaps(members: DataFrame, item: str, group: str) -> DataFrame:
 
 def distinctive(counts: DataFrame, row: str, column: str, value: str, excess: float = 1.12) -> DataFrame:
     """counts with expected (row total * column total / total) and lift, where observed is above excess times expected."""
-    total = F.sum(value).over(Window.partitionBy())
-    full = counts.withColumn("expected", F.sum(value).over(Window.partitionBy(row)) * F.sum(value).over(Window.partitionBy(column)) / total)
+    total = counts.agg(F.sum(value).alias("_total"))  # one row
+    by = lambda key: counts.groupBy(key).agg(F.sum(value).alias(f"_by_{key}"))
+    full = counts.join(by(row), row).join(by(column), column).join(F.broadcast(total))
+    full = full.withColumn("expected", F.col(f"_by_{row}") * F.col(f"_by_{column}") / F.col("_total")).select(*counts.columns, "expected")
     return full.withColumn("lift", F.col(value) / F.col("expected")).where(F.col(value) > excess * F.col("expected"))
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.numbers import doubles, inner, norm
+from tessera.functions.numbers import doubles, inner, norm, unit
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:
@@ -13,25 +16,74 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     return F.when(n > 0, inner(a, b) / n)
 
 
-#: Queries that are broadcast to the scan of the vectors; more go in blocks of so many.
+#: Queries that are held against one scan of the vectors; more go in blocks of so many.
 QUERY_BLOCK = 4096
 
 
+def _unit_rows(vectors: list | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors of the rows that aren't zero, and which those are."""
+    x = np.asarray(vectors, np.float64)
+    n = np.sqrt((x * x).sum(axis=1))
+    return x[n > 0] / n[n > 0][:, None], n > 0
+
+
 def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6) -> DataFrame:
     """(q, id, score, rn): each query's k best vectors by cosine, ties to the smaller id.  vectors (id, v), queries (q, qv).
 
-    A stated query set against all rows: blocks of queries, of bounded size, are broadcast to one scan each; a partial
-    top k of each partition precedes the shuffle."""
+    A stated query set against all rows: blocks of queries, of bounded size, are broadcast as unit vectors and multiplied
+    with each batch of one scan; only a batch's k best of each query go on.  Null and zero vectors find nothing, nor do
+    vectors of unlike length."""
+    spark = vectors.sparkSession
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     out = None
     for b in range(blocks):
-        own = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b)
-        scored = vectors.join(F.broadcast(own)).where(F.col("id") != F.col("q")).select("q", "id", F.round(cosine("v", "qv"), digits).alias("score")).where(F.col("score").isNotNull())
+        rows = (queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b)).where("qv IS NOT NULL").collect()
+        asked = {}
+        for dim in {len(r.qv) for r in rows}:
+            own = [r for r in rows if len(r.qv) == dim]
+            unit, ok = _unit_rows([r.qv for r in own])
+            asked[dim] = np.array([r.q for r in own])[ok], unit
+        shared = spark.sparkContext.broadcast(asked)
+
+        def run(batches, shared=shared):
+            for batch in batches:
+                sizes = np.asarray(pc.fill_null(pc.list_value_length(batch.column("v")), -1))
+                for dim, (q, unit) in shared.value.items():
+                    own = batch.filter(pa.array(sizes == dim))
+                    if not own.num_rows or not len(q):
+                        continue
+                    x, ok = _unit_rows(np.asarray(own.column("v").flatten()).reshape(-1, dim))
+                    ids = np.asarray(own.column("id"))[ok]
+                    scores = np.round(x @ unit.T, digits)
+                    found = [[], [], []]
+                    for i in range(len(q)):
+                        mine = np.flatnonzero(ids != q[i])
+                        if len(mine) > k:
+                            least = np.partition(scores[mine, i], len(mine) - k)[len(mine) - k]
+                            mine = mine[scores[mine, i] >= least]
+                        mine = mine[np.lexsort((ids[mine], -scores[mine, i]))[:k]]
+                        for column, part in zip(found, (np.full(len(mine), q[i]), ids[mine], scores[mine, i]), strict=True):
+                            column.append(part)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in found], ["q", "id", "score"])
+
+        scored = vectors.select("id", "v").mapInArrow(run, "q long, id long, score double")
         best = scored.withColumn("rn", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))).where(F.col("rn") <= k)
         out = best if out is None else out.union(best)
     return out
 
 
+def stored_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """(key, length, unit) as a table in the shared folder: vectors are normalised once, not at each search."""
+    from tessera.operators.graph import stored
+
+    return stored(df.select(key, norm(vector).alias("length"), unit(vector).alias("unit")), "vectors")
+
+
+def fetched(vectors: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The vectors of the wanted keys."""
+    return vectors.join(wanted.select(key).distinct(), key, "left_semi")
+
+
 def vector_table(df: DataFrame, key: str, vector: str, *more: str) -> DataFrame:
     return df.select(F.col(key).alias("id"), doubles(vector).alias("v"), *more)
 

@@ -3,7 +3,7 @@
 from importlib import import_module
 
 #: Modules of this package that hold queries.
-GROUPS = ("text", "postings", "relational", "entities", "retrieval", "extensions")
+GROUPS = ("text", "postings", "relational", "entities", "retrieval", "rules", "extensions")
 
 
 def load() -> None:

@@ -146,11 +146,21 @@ def source_merge(spark, sf):
     return E.source_merge(entries, known)
 
 
-@register("er_dedup_two_layer")
+#: The rules of both layers over the same profiles: exact names first, then equal first three parts.
+DEDUP_SQL = f"""WITH p AS (SELECT doc_id AS id, ({WORDS})[1:4] AS parts, array_to_string(({WORDS})[1:4], ' بن ') AS norm, CASE WHEN doc_id % 5 > 0 THEN CAST(doc_id % 7 + 100 AS INTEGER) END AS y, coalesce(({WORDS})[-1], '') AS k, coalesce(source, '') AS c FROM documents),
+j AS (SELECT a.id AS id1, b.id AS id2, a.norm = b.norm AS exact, greatest(len(a.parts), len(b.parts)) AS n, least(len(a.parts), len(b.parts)) AS s, coalesce(abs(a.y - b.y) <= 2, false) AS agree, coalesce(abs(a.y - b.y) > 5, false) AS conflict, coalesce(abs(a.y - b.y) BETWEEN 3 AND 5, false) AS near,
+  a.y IS NULL OR b.y IS NULL AS undated, a.k <> '' AND a.k = b.k AS k, a.c <> '' AND a.c = b.c AS c, a.parts AS pa, b.parts AS pb FROM p a JOIN p b ON a.id < b.id AND a.norm <> '' AND (a.norm = b.norm OR len(a.parts) >= 3 AND len(b.parts) >= 3 AND a.parts[1:3] = b.parts[1:3])),
+m AS (SELECT id1, id2, CASE WHEN NOT exact THEN NULL WHEN n < 3 THEN CASE WHEN agree AND (k OR c) THEN '1short+death' END WHEN conflict THEN NULL WHEN agree THEN '1exact+death' WHEN k THEN '1exact+kunya' WHEN c AND undated THEN '1exact+city' WHEN n >= 4 AND undated THEN '2exact_long_no_death' END AS e,
+  CASE WHEN s < 3 OR conflict OR pa[1:s] <> pb[1:s] THEN NULL WHEN agree THEN '1prefix(' || s || ')+death' WHEN near AND c THEN '1prefix(' || s || ')+city+death5' WHEN s >= 4 AND undated AND c THEN '1prefix(' || s || ')+city' WHEN s >= 4 AND undated THEN '2prefix(' || s || ')_no_death' WHEN k THEN '2prefix(' || s || ')+rare_kunya' END AS f FROM j)
+SELECT id1, id2, CAST(substr(coalesce(e, f), 1, 1) AS INTEGER) AS layer, substr(coalesce(e, f), 2) AS reason FROM m WHERE coalesce(e, f) IS NOT NULL"""
+
+
+@register("er_dedup_two_layer", DEDUP_SQL)
 def dedup_two_layer(spark, sf):
     w = F.filter(F.split(F.lower("text"), "[^\\p{L}]+"), lambda x: x != "")
+    death = F.when(F.col("doc_id") % 5 > 0, F.concat((F.col("doc_id") % 7 + 100).cast("string"), F.lit(" h")))
     profiles = table(spark, sf, "documents", "doc_id", "text", "source").select(
-        F.col("doc_id").alias("id"), F.array_join(F.slice(w, 1, 4), " بن ").alias("full_name"), F.concat((F.col("doc_id") % 7 + 100).cast("string"), F.lit(" h")).alias("death"), F.element_at(w, -1).alias("kunya"), F.col("source").alias("city")
+        F.col("doc_id").alias("id"), F.array_join(F.slice(w, 1, 4), " بن ").alias("full_name"), death.alias("death"), F.element_at(w, -1).alias("kunya"), F.col("source").alias("city")
     )
     return E.duplicate_pairs(profiles)
 
