@@ -4,23 +4,29 @@ A page is read tag by tag into flat blocks of text: block-level tags part them,
 line break is white space.  Each block has its words and link density, those of its neighbours before and
 after, and what its ancestors say (article, page furniture by element, role, class or id, heading, hidden).  Forms and hints of class or id
 around an article or main element don't count in it, but for comments, teasers and advertisements around an article.
-A decision tree, grown from the labelled blocks of TRAINING, says which blocks are main text.
+A decision tree, grown from the labelled blocks of TRAINING, says which blocks are main text.  Hints are weak: where with
+them nothing of a page is main text, the blocks are judged again without them, but for those of comments, teasers and
+advertisements.  Hidden and advertising elements inside a line of text are left out of it.
 
 Defined results: a null, empty or text-free page gives an empty text and 0 characters.  Unclosed and
 stray tags are tolerated; an incomplete tag at the end of a page is dropped.  Character references are
 decoded; white space inside a block becomes one space, blocks are trimmed and joined by one line feed in
-page order.  An option without end tag ends at the next one or with its parent.  Rows are handled one by one; extra columns pass through.
+page order.  An option without end tag ends at the next one or with its parent; of other elements whose content is no text, a
+script or style without end tag runs to the end of the page, others without one are empty.  A page of any length is read in time in
+proportion to it, whole.  Rows are handled one by one; extra columns pass through, but for those named like the results.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
+from functools import cache
 from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm.common import slices
+from tessera.llm.common import slices, small_batches
 
 #: Tags inside a line of text; all other tags part blocks.
 INLINE = frozenset(
@@ -45,6 +51,10 @@ PARTS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion promoted related recommended "
     "recommendations teaser teasers comment comments commentlist reply replies respond discussion disqus".split()
 )
+#: Hints that leave words out of a line.
+LINE = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion promoted".split())
+#: Words that make a hint the name of what it found, as search-results.
+FOUND = frozenset("result results".split())
 _STATE = re.compile(r"(?:has|no|with|without)[-_]")
 #: Where the text of an option ends: at its end tag, another option or its parent's end.
 _OPTION_END = re.compile(r"</?(?:option|optgroup)\b|</([a-zA-Z][^\s/>]*)", re.I)
@@ -56,12 +66,32 @@ FEATURES = ("words", "link_density", "words_before", "link_density_before", "wor
 
 
 class Block:
-    __slots__ = ("parts", "linked", "article", "furniture", "heading", "header", "text", "words", "density")
+    __slots__ = ("parts", "linked", "article", "furniture", "hard", "heading", "header", "text", "words", "density")
 
-    def __init__(self, article: bool, furniture: bool, heading: bool, header: bool):
+    def __init__(self, article: bool, furniture: bool, hard: bool, heading: bool, header: bool):
         self.parts: list[str] = []
         self.linked = 0
-        self.article, self.furniture, self.heading, self.header = article, furniture, heading, header
+        #: hard: furniture by more than weak hints
+        self.article, self.furniture, self.hard, self.heading, self.header = article, furniture, hard, heading, header
+
+
+def _hints(value: str) -> set[str]:
+    """Hints in a class or id."""
+    found = set()
+    for name in value.split():
+        words = set(re.split(r"[^a-z]+", name))
+        if not _STATE.match(name) and FOUND.isdisjoint(words):
+            found |= words & HINTS
+    return found
+
+
+def _silent(attributes: str) -> bool:
+    """Whether an element inside a line of text is hidden or an advertisement."""
+    for name, a, b, c, hidden in _ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), (a or b or c).lower()
+        if hidden or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", "") or name in ("class", "id") and not LINE.isdisjoint(_hints(value)):
+            return True
+    return False
 
 
 def _marks(tag: str, attributes: str) -> tuple[bool, bool, bool, bool, bool, bool]:
@@ -69,7 +99,7 @@ def _marks(tag: str, attributes: str) -> tuple[bool, bool, bool, bool, bool, boo
     and whether by those of PARTS."""
     article, furniture = tag in ("article", "main"), tag in FURNITURE and tag != "form"
     soft, part = tag == "form", False
-    if attributes and tag not in ("html", "body", "a", "br", "p"):
+    if attributes and tag not in ("html", "body"):
         for name, a, b, c, hidden in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), (a or b or c).lower()
             if hidden or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
@@ -77,23 +107,37 @@ def _marks(tag: str, attributes: str) -> tuple[bool, bool, bool, bool, bool, boo
             elif name == "role":
                 article, furniture = article or value in ("article", "main"), furniture or value in ROLES
             elif name in ("class", "id") and not article:
-                hints = HINTS.intersection(x for c in value.split() if not _STATE.match(c) for x in re.split(r"[^a-z]+", c))
+                hints = _hints(value)
                 soft, part = soft or bool(hints), part or not PARTS.isdisjoint(hints)
     return article, furniture or soft, bool(_HEADING.match(tag)), tag == "header", soft and not furniture, part
 
 
+@cache
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}\s*(?:>|\Z)", re.I)
+
+
 def blocks(html: str) -> list[Block]:
     """Flat text blocks in page order; those without text are left out."""
     out: list[Block] = []
     # tag; articles, furniture, headings, headers open, and of the furniture what an article, and what a main element, sets aside
     stack: list[tuple[str, int, int, int, int, int, int]] = [("", 0, 0, 0, 0, 0, 0)]
     links, block, at, n = 0, None, 0, len(html)
+    opened: Counter[str] = Counter()  # of each tag on the stack
+    endless: set[str] = set()  # tags without an end tag from here on
+    silent: list[str] = []  # tags of a line that are open since one that is left out
+
+    def closed(i: int) -> None:
+        opened.subtract(x[0] for x in stack[i:])
+        del stack[i:]
 
     def put(text: str) -> None:
         nonlocal block
+        if silent:
+            return
         if block is None:
-            _, article, furniture, heading, header, _, _ = stack[-1]
-            block = Block(article > 0, furniture > 0, heading > 0, header > 0)
+            _, article, furniture, heading, header, loose, parts = stack[-1]
+            block = Block(article > 0, furniture > 0, furniture > loose or parts > 0, heading > 0, header > 0)
             out.append(block)
         block.parts.append(text)
         if links:
@@ -112,22 +156,34 @@ def blocks(html: str) -> list[Block]:
             continue
         tag, closing = tag.lower(), bool(m[1] or m[4])
         if tag in INLINE:
+            if silent and tag not in VOID:
+                if not closing:
+                    silent.append(tag)
+                elif tag in silent:
+                    while silent.pop() != tag:
+                        pass
+            elif not closing and tag not in VOID and _silent(m[3] or m[6] or ""):
+                silent.append(tag)
             if tag == "a":
                 links = 0 if closing else 1
-            elif tag == "br" and block is not None:
+            elif tag == "br" and block is not None and not silent:
                 block.parts.append(" ")
             continue
         block, links = None, 0
+        silent.clear()
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            if opened[tag] > 0:
+                closed(next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag))
             continue
         if tag in RAW:
             if not (m[3] or m[6] or "").endswith("/"):
-                end = re.compile(rf"</{tag}\s*(?:>|\Z)", re.I).search(html, at)
-                at = end.end() if end else (n if tag != "head" else at)
+                end = None if tag in endless else _raw_end(tag).search(html, at)
+                if end:
+                    at = end.end()
+                elif tag in ("script", "style"):
+                    at = n
+                else:
+                    endless.add(tag)
             continue
         if tag == "option":
             end = next((m for m in _OPTION_END.finditer(html, at) if not m[1] or m[1].lower() not in INLINE), None)
@@ -138,14 +194,13 @@ def blocks(html: str) -> list[Block]:
         if tag == "p" or _HEADING.match(tag):  # these don't nest
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == "p" or _HEADING.match(stack[i][0]):
-                    del stack[i:]
-                    break
-                if stack[i][0] not in ("p",):
-                    break
+                    closed(i)
+                break
         _, article, furniture, heading, header, loose, parts = stack[-1]
         own = _marks(tag, m[3] or m[6] or "")
         if own[0] and not article and (tag == "main" or not parts):
             furniture, loose, parts = furniture - loose, 0, 0
+        opened[tag] += 1
         stack.append((tag, article + own[0], furniture + own[1], heading + own[2], header + own[3], loose + own[4], parts + own[5]))
     kept = []
     for b in out:
@@ -156,14 +211,14 @@ def blocks(html: str) -> list[Block]:
     return kept
 
 
-def features(page: list[Block]) -> list[tuple[float, ...]]:
-    """FEATURES of each block."""
+def features(page: list[Block], hints: bool = True) -> list[tuple[float, ...]]:
+    """FEATURES of each block; hints: whether weak ones make furniture."""
     rows = []
     for i, b in enumerate(page):
         before, after = page[i - 1] if i else None, page[i + 1] if i + 1 < len(page) else None
         rows.append((
             b.words, b.density, before.words if before else 0, before.density if before else 0.0, after.words if after else 0, after.density if after else 0.0,
-            float(b.article), float(b.furniture), float(b.heading), float(b.header),
+            float(b.article), float(b.furniture if hints else b.hard), float(b.heading), float(b.header),
         ))
     return rows
 
@@ -234,11 +289,16 @@ def main_text(html: str | None, tree: Tree) -> str:
     if not html:
         return ""
     page = blocks(html)
-    return "\n".join(b.text for b, row in zip(page, features(page), strict=True) if tree.label(row))
+    for hints in (True, False):
+        kept = [b.text for b, row in zip(page, features(page, hints), strict=True) if tree.label(row)]
+        if kept:
+            break
+    return "\n".join(kept)
 
 
 def extract(pages: DataFrame, column: str = "html", training=TRAINING) -> DataFrame:
     """pages' columns but the html's, with text and n_chars (code points)."""
+    small_batches(pages.sparkSession)
     tree = Tree(training)
     kept = [f for f in pages.schema.fields if f.name not in (column, "text", "n_chars")]
     keep = [f.name for f in kept]

@@ -2,9 +2,11 @@ from __future__ import annotations
 
 import html as H
 import re
+import time
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import html_text, language_id, toxicity
@@ -276,6 +278,33 @@ def test_wrappers_do_not_empty_an_article():
     assert html_text.main_text(f"<datalist><option>one</option></datalist>{article}", tree) == want
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<div class='site has-sidebar'>{}</div>", "{}"), ("<datalist><option><option></datalist>{}", "{}"), ("<iframe src=x>{}", "{}"), ("<main><div id='search-results'>{}</div></main>", "{}"), ("<div class='widget'>{}</div>", "{}"), ("<form action=x>{}</form>", "{}"),
+        ("<article>{}<p class='advert'>Buy this now</p><p hidden>secret words</p></article>", "{}"), ("<article><p>One <span class='ad'>Buy <b>now</b></span>two.</p>{}</article>", "One two.\n{}"), ("<p class='cookie-notice'>We use cookies on this site to give you all that you may want of it, and more.</p>{}", "{}"),
+        ("<article>{}<noscript>x</noscript><textarea>y</textarea></article>", "{}"), ("<nav class='menu'><ul><li><a href=a>Home</a><li><a href=b>News</a></ul></nav>{}<footer>All rights reserved by the owner of this page, who wrote it.</footer>", "{}"),
+        ("{}<script>var a = '<p>no</p>'", "{}"),
+    ],
+)
+def test_ordinary_pages(html, want):
+    tree = html_text.Tree(html_text.TRAINING)
+    paragraphs = ("The river rose for three days before it reached the lower fields, and the farmers moved their cattle up to the old road.", "By the evening of the fourth day the water had gone back, and they counted what was left of the hay.")
+    assert html_text.main_text(html.format("".join(f"<p>{p}</p>" for p in paragraphs)), tree) == want.format("\n".join(paragraphs))
+
+
+def test_time_grows_with_the_page():
+    tree = html_text.Tree(html_text.TRAINING)
+
+    def seconds(n):
+        at = time.process_time()
+        html_text.main_text("<div>x</p>" * n + "<iframe>" * n + "<option>" * n, tree)
+        return time.process_time() - at
+
+    seconds(100)
+    assert seconds(40_000) < 12 * max(0.05, seconds(10_000))
+
+
 def test_tree_fits_its_table():
     tree = html_text.Tree(html_text.TRAINING)
     assert sum(tree.label(r[:-1]) == r[-1] for r in html_text.TRAINING) >= 0.97 * len(html_text.TRAINING)
