@@ -12,7 +12,8 @@ A document is the set of its distinct k-word shingles as 64-bit hashes.  Two doc
    only the band of sizes that can link with its own.
 4. Tiles of BIG classes and more, the first INNER such of each class, are linked inside, in blocks of
    BLOCK classes: bitmap signatures bound each overlap from above, what passes is intersected exactly, and
-   classes that are already connected are not compared again.  So a large group of near copies becomes one
+   classes that are already connected are not compared again.  Of a tile of several blocks, one class of each component
+   of each block is then linked with the others' likewise.  So a large group of near copies becomes one
    component before pairs are made.
 5. In all tiles, pairs of classes of different components are counted; those that share enough tiles
    are checked as in 4: bitmap bound, then exact sorted-array intersection.
@@ -42,7 +43,7 @@ LOCAL = 3
 SHARED = 4
 #: Classes from which a tile is big, and classes of a block of it.
 BIG = 64
-BLOCK = 4096
+BLOCK = 512
 #: Such tiles of each class, its first ones.
 INNER = 2
 #: Shingles that a task counts before it reports.
@@ -374,11 +375,18 @@ def near_copies(docs: DataFrame, k: int = 4, t: int = 85, key: str = "doc_id", c
 
     # each class's first big tiles in the global order: near copies mostly have the same ones
     own_order = Window.partitionBy("digest", "n").orderBy("pos")
-    salt = F.pmod(F.xxhash64("digest"), F.ceil(F.col("m") / BLOCK))
-    block = F.shiftrightunsigned(F.xxhash64("token", salt), 1) + F.lit(1)  # above 0
+    block = lambda n, name: F.shiftrightunsigned(F.xxhash64("token", F.lit(name), F.pmod(F.xxhash64("digest"), F.ceil(n / BLOCK))), 1) + F.lit(1)  # noqa: E731  above 0
     big = tiled.where(F.col("m") >= BIG).withColumn("i", F.row_number().over(own_order)).where(F.col("i") <= INNER)
-    big = written(big.select(block.alias("tile"), "digest", "n", "i"), "big")
-    inner = written(inner_links(big, arrays(docs, reps, big.select("digest", "n").distinct(), key, column, k), t), "inner")
+    big = written(big.select("token", "m", block(F.col("m"), "first").alias("tile"), "digest", "n", "i"), "big")
+    within = lambda tiles, name: written(inner_links(tiles, arrays(docs, reps, tiles.select("digest", "n").distinct(), key, column, k), t), name)
+    inner = within(big.select("tile", "digest", "n"), "inner")
+    parted = big.where(F.col("m") > BLOCK)
+    if not parted.isEmpty():  # tiles of several blocks: a class of each component of each block
+        linked_ = components(edge(inner), "block-links").select(F.col("node.d").alias("digest"), F.col("node.n").alias("n"), F.xxhash64("component.d", "component.n").alias("c"))
+        heads = parted.join(linked_, ["digest", "n"], "left").withColumn("c", F.coalesce("c", F.xxhash64("digest", "n"))).groupBy("token", "tile", "c").agg(F.min(F.struct("digest", "n")).alias("h"))
+        heads = written(heads.select("token", "h.digest", "h.n"), "heads")
+        counted = heads.join(heads.groupBy("token").agg(F.count("*").alias("many")), "token")
+        inner = inner.unionByName(within(counted.select(block(F.col("many"), "second").alias("tile"), "digest", "n"), "heads-links"))
     known = components(edge(inner), "inner-links").select(F.col("node.d").alias("digest"), F.col("node.n").alias("n"), F.xxhash64("component.d", "component.n").alias("known"))
     blocks = big.groupBy("digest", "n").agg(*[F.max(F.when(F.col("i") == c + 1, F.col("tile"))).alias(f"block{c}") for c in range(INNER)])
     facts = written(blocks.join(known, ["digest", "n"], "left"), "facts")
