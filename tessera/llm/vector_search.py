@@ -9,13 +9,17 @@ Queries and candidates meet in blocks of rows: every query block meets every can
 a task of bounded size, which gives k rows a query; a window merges them.
 
 Defined results: scores tie to the smaller id; a query doesn't find its own row; with fewer than k other
-rows all are returned.  Vectors that are null, empty or hold null or non-finite components take no part,
+rows all are returned.  Scores whose sums may pass 2**53 are added up as whole numbers of any size, without elimination; one that
+leaves 64 bits counts as the nearest that doesn't.  Vectors that are null, empty or hold null or non-finite components take no part,
 nor do rows without an id; vectors of unlike length don't meet.  Of repeated rows of one id each takes part as
 a candidate; equal rows count as one query, unlike rows of one id share one list.  Extra columns aren't read.
 """
 
 from __future__ import annotations
 
+import heapq
+import operator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -48,7 +52,8 @@ def matrix(col: pa.Array, dim: int) -> np.ndarray:
 
 def quantised(x: np.ndarray) -> np.ndarray:
     """floor(256 x): whole numbers, held as doubles whose products and sums are exact below 2**53."""
-    return np.floor(256.0 * x)
+    most = np.finfo(np.float64).max
+    return np.clip(np.floor(256.0 * np.clip(x, -most / 256, most / 256)), -most, most)
 
 
 def pivots_of(x: np.ndarray, n: int = PIVOTS) -> np.ndarray:
@@ -67,11 +72,15 @@ def pivots_of(x: np.ndarray, n: int = PIVOTS) -> np.ndarray:
 
 
 def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(0.0, (x * x).sum(axis=1)[:, None] + (pivots * pivots).sum(axis=1)[None, :] - 2 * x @ pivots.T))
+    with np.errstate(all="ignore"):  # of vectors too large for it; their bounds aren't used
+        return np.sqrt(np.maximum(0.0, (x * x).sum(axis=1)[:, None] + (pivots * pivots).sum(axis=1)[None, :] - 2 * x @ pivots.T))
 
 
 def top_k(qid: np.ndarray, q: np.ndarray, q_table: np.ndarray, cid: np.ndarray, c: np.ndarray, table: np.ndarray, k: int) -> list[tuple[int, int, int]]:
     """(query, candidate, score) of each query's k best candidates of this block; table, q_table: distances to the pivots."""
+    largest = [float(np.abs(x).max(initial=0)) for x in (q, c)]
+    if largest[0] * largest[1] * max(1, q.shape[1]) >= 2**53:
+        return _plain_top_k(qid, q, cid, c, k)
     cc, qq = (c * c).sum(axis=1), (q * q).sum(axis=1)
     out = []
     for i in range(len(q)):
@@ -92,6 +101,17 @@ def top_k(qid: np.ndarray, q: np.ndarray, q_table: np.ndarray, cid: np.ndarray,
     return out
 
 
+def _plain_top_k(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+    """top_k by all scores, in whole numbers of any size."""
+    candidates = [[int(x) for x in row] for row in c.tolist()]
+    out = []
+    for i in range(len(q)):
+        own = [int(x) for x in q[i].tolist()]
+        scores = [(-max(-(1 << 63), min((1 << 63) - 1, sum(map(operator.mul, own, row)))), int(v)) for v, row in zip(cid, candidates, strict=True) if v != qid[i]]
+        out += [(int(qid[i]), v, -s) for s, v in heapq.nsmallest(k, scores)]
+    return out
+
+
 def pivot_table(vectors: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
     """vectors with v quantised and d, the distances to the pivots of their length and to the origin."""
     shared = vectors.sparkSession.sparkContext.broadcast(pivots)
@@ -116,8 +136,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     some = vectors.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) <= int((1 << 30) * min(1.0, 2 * PIVOT_ROWS / max(1, n)))).orderBy(F.xxhash64("id"), "id").limit(PIVOT_ROWS).collect()
     pivots = {dim: pivots_of(quantised(np.array([r.v for r in some if r.dim == dim]))) for dim in sorted({r.dim for r in some})[:PIVOT_DIMS]}
     blocks, q_blocks = max(1, -(-n // CANDIDATE_ROWS)), max(1, -(-nq // QUERY_ROWS))
-    # a block is a hash of the row, so that a hot id or vector doesn't gather rows; each meets all blocks of the other side
-    met = lambda own, b, other, o: (F.pmod(F.xxhash64("id"), F.lit(b)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(o - 1))).alias(other))
+    # a block is a hash of id and vector, so that a hot id or vector doesn't gather rows; each meets all blocks of the other side
+    met = lambda own, b, other, o: (F.pmod(F.xxhash64("id", "v"), F.lit(b)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(o - 1))).alias(other))
     c = pivot_table(vectors, pivots).select(*met("block", blocks, "part", q_blocks), F.lit(False).alias("query"), "id", "v", "d", "dim")
     q = pivot_table(queries.distinct(), pivots).select(*met("part", q_blocks, "block", blocks), F.lit(True).alias("query"), "id", "v", "d", "dim")
 
