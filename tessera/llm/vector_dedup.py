@@ -5,8 +5,10 @@ hashes floor((a.x + b) / width) with Gaussian a; a bucket is a label, a table an
 table follow from the number of vectors, tables from the recall wanted at the threshold (closer pairs are
 found more surely).  Buckets with one vector end there; others are dealt out in blocks, of which every two
 of a bucket meet in a task of bounded size, and each pair is checked exactly.  A pair counts in the first
-table whose bucket it shares, so link counts need no list of pairs; links within a task go on as a
-spanning forest, and components are found over those.
+table whose bucket it shares, so link counts need no list of pairs (the buckets in earlier tables are computed anew for the
+vectors of found links alone, so that no row carries them); links within a task go on as a
+spanning forest, and components are found over those.  Before anything is computed, vectors are scaled by a power of 2 that
+brings their greatest component near 1, so that norms neither vanish nor overflow.
 
 Equal vectors of one label are one class with a weight, before anything is compared.
 
@@ -61,17 +63,30 @@ def projections(dim: int, k: int, tables: int, width: float = WIDTH, seed: int =
 def buckets(x: np.ndarray, label: np.ndarray, k: int, tables: int, width: float = WIDTH) -> np.ndarray:
     """64-bit bucket of each vector in each table (rows x tables)."""
     a, b = projections(x.shape[1], k, tables, width)
-    h = np.floor((x @ a.T + b) / width).astype(np.int64).view(np.uint64).reshape(len(x), tables, k)
+    # sums in a fixed order, whatever the rows beside: a vector has the same buckets in every task
+    h = np.floor((np.einsum("ij,kj->ik", x, a) + b) / width).astype(np.int64).view(np.uint64).reshape(len(x), tables, k)
     out = mixed(label.astype(np.int64).view(np.uint64) + np.uint64(x.shape[1] * 1000003))[:, None] ^ mixed(np.arange(1, tables + 1, dtype=np.uint64))[None, :]
     for j in range(k):
         out = mixed(out * M1 + h[:, :, j])
     return out.view(np.int64)
 
 
-def _linked(x: np.ndarray, keys: np.ndarray, weight: np.ndarray, table: int, left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, Forest]:
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times the power of 2 that brings their greatest component to between 1/2 and 1."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0))[1][:, None])
+
+
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
+    return x / np.sqrt((x * x).sum(axis=1))[:, None]
+
+
+def _linked(x: np.ndarray, weight: np.ndarray, table: int, left: np.ndarray, right: np.ndarray, threshold: float, k: int, tables: int) -> tuple[np.ndarray, Forest]:
     """Weights linked to each vector by pairs of left and right that first meet in this table; their forest."""
     degree, forest = np.zeros(len(x), np.int64), Forest(len(x))
+    x = scaled(x)
     norm = np.sqrt((x * x).sum(axis=1))
+    keys, known = np.zeros((len(x), table), np.int64), np.zeros(len(x), bool)  # buckets in the tables before
     same = len(left) == len(right) and bool((left == right).all())
     for a in range(0, len(left), 256):
         rows = left[a : a + 256]
@@ -80,10 +95,16 @@ def _linked(x: np.ndarray, keys: np.ndarray, weight: np.ndarray, table: int, lef
             ok &= rows[:, None] < right[None, :]
         i, j = np.nonzero(ok)
         i, j = rows[i], right[j]
+        if table and len(i):
+            new = np.unique(np.concatenate([i, j]))
+            new = new[~known[new]]
+            if len(new):
+                keys[new] = buckets(x[new] / norm[new][:, None], np.zeros(len(new), np.int64), k, tables)[:, :table]
+                known[new] = True
         for c in range(0, len(i), 1 << 16):
             u, v = i[c : c + (1 << 16)], j[c : c + (1 << 16)]
             if table:
-                first = ~(keys[u, :table] == keys[v, :table]).any(axis=1)
+                first = ~(keys[u] == keys[v]).any(axis=1)
                 u, v = u[first], v[first]
             np.add.at(degree, u, weight[v])
             np.add.at(degree, v, weight[u])
@@ -110,10 +131,8 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", column: str = "embe
             dims = np.asarray(batch.column("dim"))
             for dim in np.unique(dims).tolist():
                 part = batch.filter(pa.array(dims == dim))
-                x = matrix(part.column("v"), dim)
-                x = x / np.sqrt((x * x).sum(axis=1))[:, None]
-                keys = buckets(x, np.asarray(part.column("label")), k, tables)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * tables), pa.array(keys.ravel()))
+                keys = buckets(unit_rows(matrix(part.column("v"), dim)), np.asarray(part.column("label")), k, tables)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * tables), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column("id"), lists], ["id", "keys"])
 
     signatures = written(classes.select("id", "label", "v", "dim").mapInArrow(signed, "id long, keys array<long>"), "signatures")
@@ -123,7 +142,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", column: str = "embe
     # every two blocks of a bucket meet once: block i goes to (i, j) for j >= i and to (j, i) for j < i
     dealt = salted.select("t", "bucket", "id", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("t", "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id")
-    full = dealt.join(classes.select("id", "v", "weight", "dim"), "id").join(signatures, "id")
+    full = dealt.join(classes.select("id", "v", "weight", "dim"), "id")
 
     def checked(key_, table):
         t, i, j = key_[0].as_py(), key_[2].as_py(), key_[3].as_py()
@@ -131,8 +150,8 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", column: str = "embe
         order = np.argsort(ids, kind="stable")
         ids, own = ids[order], own[order]
         x = matrix(table["v"], table["dim"][0].as_py())[order]
-        keys, weight = matrix(table["keys"], tables)[order], np.asarray(table["weight"])[order]
-        degree, forest = _linked(x, keys, weight, t, np.flatnonzero(own == i), np.flatnonzero(own == j), threshold)
+        weight = np.asarray(table["weight"])[order]
+        degree, forest = _linked(x, weight, t, np.flatnonzero(own == i), np.flatnonzero(own == j), threshold, k, tables)
         hit = np.flatnonzero(degree)
         return pa.table({"id": ids[hit], "n": degree[hit], "root": ids[np.array([forest.find(int(h)) for h in hit], np.int64)] if len(hit) else ids[hit]})
 

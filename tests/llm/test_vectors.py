@@ -132,3 +132,23 @@ def test_dedup_odd_rows(spark):
     assert got[1] == (2, 1, True) and got[2] == (2, 1, False) and got[9] == (2, 1, False)
     assert all(got[i] == (0, i, True) for i in (3, 4, 5, 6, 7, 8, 10, 11)) and len(got) == 12
     assert VD.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_large_components_are_exact_and_stay_in_64_bits(spark):
+    big = [[1e12, -3e11, 5.0], [9e11, 4e11, -7.0], [1.0, 2.0, 3.0], [-1e300, 1e300, 1e308], [1e307, -1e307, 1e307]]
+    df = spark.createDataFrame(list(enumerate(big)), "vec_id long, embedding array<double>")
+    v = VS.usable(df, "vec_id", "embedding")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in VS.search(v, v, k=2).collect())
+    whole = [[int(x) for x in VS.quantised(np.array(row)).tolist()] for row in big]
+    want = []
+    for i, q in enumerate(whole):
+        scores = sorted((-max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(q, c, strict=True)))), j) for j, c in enumerate(whole) if j != i)
+        want += [(i, r, j, -s) for r, (s, j) in enumerate(scores[:2], 1)]
+    assert got == sorted(want)
+
+
+def test_tiny_and_huge_vectors_link_by_their_angle(spark):
+    rows = [(0, [1e-200, 0.0], 1), (1, [0.0, 1e-200], 1), (2, [3e-200, 1e-203], 1), (3, [1e200, 0.0], 1), (4, [1e308, 1e308], 1), (5, [2.0, 2.0], 1), (6, [5e-324, 0.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in VD.near_duplicates(df).collect()}
+    assert got == {0: (3, 0), 1: (0, 1), 2: (3, 0), 3: (3, 0), 6: (3, 0), 4: (1, 4), 5: (1, 4)}
