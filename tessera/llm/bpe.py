@@ -7,8 +7,9 @@ along a word's path is the word's number, which gives its ids.  The compiled arr
 Python worker.  A word that the automaton doesn't accept is merged exactly, lowest rank first.
 
 Defined results: a null or empty text has no tokens and decodes to the empty text.  The special token's
-string in a text is that token, as in the tokenizers library with add_special_tokens=False.  Rows are
-handled one by one, so ties, repeated rows, null ids and extra columns pass through unchanged.
+string in a text is that token, as in the tokenizers library with add_special_tokens=False.  A text of any length is read whole;
+long words are merged in n log n and not remembered.  The file that workers map is made anew from the broadcast wherever one runs,
+so nothing depends on a machine's folder.  Rows are handled one by one, so ties, repeated rows, null ids and extra columns pass through unchanged.
 """
 
 from __future__ import annotations
@@ -29,15 +30,16 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import held, slices
+from tessera.llm.common import held, slices, small_batches
 
 #: Bounds of the lexicon: words, and bytes of a word.
 LEXICON_WORDS = 60_000
 LEXICON_BYTES = 32
 #: A task sends its words with this many occurrences at least; the sums over tasks rank the words.
 LEXICON_LEAST = 8
-#: Words whose results a Python worker remembers before it starts anew.
+#: Words, and characters of a word, whose results a Python worker remembers before it starts anew.
 MEMO_WORDS = 600_000
+MEMO_CHARS = 40
 
 # The pattern that splits text before the merges, and the ranges of code points that newer
 # Unicode tables count as letters or numbers and the tokenizers library's tables do not.
@@ -282,7 +284,11 @@ class Coder:
             if len(self.ids) < known + len(unseen):  # the memo began anew
                 self.learn(distinct)
         get = self.ids.__getitem__
-        return [b"".join(map(get, own)) for own in pieces]
+        out = [b"".join(map(get, own)) for own in pieces]
+        for p in unseen:
+            if len(p) > MEMO_CHARS:
+                self.ids.pop(p, None)
+        return out
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.tables.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
@@ -307,7 +313,9 @@ def frequent_words(docs: DataFrame, column: str = "text", least: int = LEXICON_L
         for part in slices(batches, column):
             for text in part.column(column).to_pylist():
                 if text:
-                    total.update(text.split(" "))
+                    words = text.split(" ")
+                    # long words don't rank; a text of such isn't kept
+                    total.update(words if len(text) < LEXICON_BYTES * len(words) else [w for w in words if len(w) < LEXICON_BYTES])
             if len(total) > 2 * MEMO_WORDS:  # what is rare among so many words is let go, as it can't rank
                 total = Counter({w: n for w, n in total.items() if n >= least})
         rows = [(" " + w, n) for w, n in total.items() if n >= least and 0 < len(w) < LEXICON_BYTES]
@@ -331,6 +339,7 @@ def encode_decode(docs: DataFrame, path: str, column: str = "text", out: str = "
     path: a byte-level BPE tokenizer file on the driver.  lexicon=False: exact merging alone.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     tables = Tables(path)
     compiled = compiled_lexicon(tables, frequent_words(docs, column) if lexicon else [])
     shared = spark.sparkContext.broadcast((uuid.uuid4().hex, tables, *compiled.dumped()))
