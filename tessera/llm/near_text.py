@@ -12,9 +12,9 @@ A document is the set of its distinct k-word shingles as 64-bit hashes.  Two doc
    only the band of sizes that can link with its own.
 4. Tiles of BIG classes and more, the first INNER such of each class, are linked inside, in blocks of
    BLOCK classes: bitmap signatures bound each overlap from above, what passes is intersected exactly, and
-   classes that are already connected are not compared again.  Of a tile of several blocks, one class of each component
-   of each block is then linked with the others' likewise.  So a large group of near copies becomes one
-   component before pairs are made.
+   classes that are already connected are not compared again.  In a tile of several blocks each two of them meet in a
+   task.  So a large group of near copies becomes one component before pairs are made, and no pairs are made of a group
+   whose members aren't linked.
 5. In all tiles, pairs of classes of different components are counted; those that share enough tiles
    are checked as in 4: bitmap bound, then exact sorted-array intersection.
 6. Components of the found links, by class, then by document.
@@ -210,17 +210,21 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum()) if len(b) else 0
 
 
-def link_block(sets: list[np.ndarray], t: int) -> list[tuple[int, int]]:
-    """Links that connect all of a block's sets that are linked, directly or through others."""
+def link_block(sets: list[np.ndarray], t: int, part: np.ndarray | None = None, inside: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that connect all sets that are linked, directly or through others.  With part, sets of one part are compared
+    only where they're inside."""
     order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), i))
     n = np.array([len(sets[i]) for i in order], np.int64)
     own = [sets[i] for i in order]
     bits = bitmaps(own, width(int(n[-1]) if len(n) else 1))
     forest, root, links = Forest(len(own)), np.arange(len(own)), []
+    part, inside = (None, None) if part is None else (part[order], inside[order])
     for i in range(len(own)):
         last = int(np.searchsorted(n, 100 * n[i] // t, "right"))  # the band of sizes that can link
         j = np.arange(i + 1, last)
         j = j[root[j] != root[i]]
+        if part is not None and not inside[i]:
+            j = j[part[j] != part[i]]
         if not len(j):
             continue
         most = bound(bits[i][None, :], n[i], bits[j], n[j])
@@ -253,28 +257,28 @@ def _members(x: bytes) -> np.ndarray:
 
 
 def inner_links(big: DataFrame, sets: DataFrame, t: int) -> DataFrame:
-    """(a, na, b, nb) links that connect all linked classes of a block; big is (tile, digest, n), tile naming the block."""
+    """(a, na, b, nb) links that connect all linked classes of a tile; big is (tile, digest, n, part, inside) as of link_block."""
 
     def run(batches):
         for table in runs_of(batches, "tile"):
             tile, digest, n = (np.asarray(table[c]) for c in ("tile", "digest", "n"))
-            members = table["members"].to_pylist()
+            members, part, inside = table["members"].to_pylist(), np.asarray(table["part"]), np.asarray(table["inside"])
             begin = [*np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]])).tolist(), len(tile)]
             found = []
             for a, b in zip(begin, begin[1:], strict=False):
                 if b - a > 1:
-                    found += [(a + i, a + j) for i, j in link_block([_members(x) for x in members[a:b]], t)]
+                    found += [(a + i, a + j) for i, j in link_block([_members(x) for x in members[a:b]], t, part[a:b], inside[a:b])]
             if found:
                 i, j = (np.array(x) for x in zip(*found, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (digest[i], n[i], digest[j], n[j])], ["a", "na", "b", "nb"])
 
-    full = big.join(sets, ["digest", "n"]).select("tile", "digest", "n", "members")
+    full = big.join(sets, ["digest", "n"]).select("tile", "digest", "n", "part", "inside", "members")
     return full.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "a long, na long, b long, nb long")
 
 
 def candidates(tiled: DataFrame, t: int) -> DataFrame:
-    """(a, na, b, nb) pairs of classes that share enough tiles, are of different components and in no block together,
-    as all pairs of a block have been compared.  tiled has component and blocks (INNER of them, nulls where fewer)."""
+    """(a, na, b, nb) pairs of classes that share enough tiles, are of different components and in no big tile together,
+    as all pairs of such have been compared.  tiled has component and blocks (INNER of them, nulls where fewer)."""
 
     def run(batches):
         for table in runs_of(batches, "token"):
@@ -375,20 +379,18 @@ def near_copies(docs: DataFrame, k: int = 4, t: int = 85, key: str = "doc_id", c
 
     # each class's first big tiles in the global order: near copies mostly have the same ones
     own_order = Window.partitionBy("digest", "n").orderBy("pos")
-    block = lambda n, name: F.shiftrightunsigned(F.xxhash64("token", F.lit(name), F.pmod(F.xxhash64("digest"), F.ceil(n / BLOCK))), 1) + F.lit(1)  # noqa: E731  above 0
     big = tiled.where(F.col("m") >= BIG).withColumn("i", F.row_number().over(own_order)).where(F.col("i") <= INNER)
-    big = written(big.select("token", "m", block(F.col("m"), "first").alias("tile"), "digest", "n", "i"), "big")
-    within = lambda tiles, name: written(inner_links(tiles, arrays(docs, reps, tiles.select("digest", "n").distinct(), key, column, k), t), name)
-    inner = within(big.select("tile", "digest", "n"), "inner")
-    parted = big.where(F.col("m") > BLOCK)
-    if not parted.isEmpty():  # tiles of several blocks: a class of each component of each block
-        linked_ = components(edge(inner), "block-links").select(F.col("node.d").alias("digest"), F.col("node.n").alias("n"), F.xxhash64("component.d", "component.n").alias("c"))
-        heads = parted.join(linked_, ["digest", "n"], "left").withColumn("c", F.coalesce("c", F.xxhash64("digest", "n"))).groupBy("token", "tile", "c").agg(F.min(F.struct("digest", "n")).alias("h"))
-        heads = written(heads.select("token", "h.digest", "h.n"), "heads")
-        counted = heads.join(heads.groupBy("token").agg(F.count("*").alias("many")), "token")
-        inner = inner.unionByName(within(counted.select(block(F.col("many"), "second").alias("tile"), "digest", "n"), "heads-links"))
+    # each two blocks of a tile meet in a task; a block's own classes are compared in the one with the next block
+    big = big.withColumn("all", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("part", F.pmod(F.xxhash64("digest"), F.col("all")).cast("int"))
+    others = F.when(F.col("all") == 1, F.array("part")).otherwise(F.filter(F.sequence(F.lit(0), F.col("all") - 1), lambda q: q != F.col("part")))
+    tile = F.xxhash64("token", F.least("part", "other"), F.greatest("part", "other"))
+    inside = F.col("other") == (F.col("part") + 1) % F.col("all")
+    big = written(big.select("token", "digest", "n", "i", "all", "part"), "big")
+    met = big.withColumn("other", F.explode(others)).select(tile.alias("tile"), "digest", "n", "part", inside.alias("inside"))
+    inner = written(inner_links(met, arrays(docs, reps, big.select("digest", "n").distinct(), key, column, k), t), "inner")
     known = components(edge(inner), "inner-links").select(F.col("node.d").alias("digest"), F.col("node.n").alias("n"), F.xxhash64("component.d", "component.n").alias("known"))
-    blocks = big.groupBy("digest", "n").agg(*[F.max(F.when(F.col("i") == c + 1, F.col("tile"))).alias(f"block{c}") for c in range(INNER)])
+    compared = F.shiftrightunsigned(F.xxhash64("token"), 1) + F.lit(1)  # above 0
+    blocks = big.groupBy("digest", "n").agg(*[F.max(F.when(F.col("i") == c + 1, compared)).alias(f"block{c}") for c in range(INNER)])
     facts = written(blocks.join(known, ["digest", "n"], "left"), "facts")
     own = tiled.select("token", "digest", "n").join(facts, ["digest", "n"], "left").withColumn("component", F.coalesce("known", F.xxhash64("digest", "n")))
     pairs = written(candidates(own, t), "pairs")

@@ -141,3 +141,23 @@ def test_words_do_not_span_texts():
     assert [bytes(raw[a:b]) for a, b in zip(s, e, strict=True)] == [b"ab", b"cd", b"e", b"f", b"g"] and own.tolist() == [0, 1, 1, 4, 4]
     at, raw = text_bytes(pa.array(["xx", "ab", "cd"]).slice(1))
     assert raw.tobytes() == b"abcd" and at.tolist() == [0, 2, 4]
+
+
+def test_links_of_parts_are_those_of_the_whole():
+    rng = np.random.default_rng(4)
+    base = np.unique(rng.integers(0, 2**63, 80).astype(np.uint64))
+    sets = [np.unique(np.concatenate([base[rng.random(len(base)) < 0.96], rng.integers(0, 2**63, 2).astype(np.uint64)])) for _ in range(40)] + [np.unique(rng.integers(0, 2**63, 30).astype(np.uint64)) for _ in range(10)]
+
+    def roots(links):
+        forest = NT.Forest(len(sets))
+        for i, j in links:
+            forest.join(i, j)
+        return [forest.find(i) for i in range(len(sets))]
+
+    part = rng.integers(0, 3, len(sets))
+    links = []
+    for a, b in ((0, 1), (1, 2), (0, 2)):
+        own = np.flatnonzero((part == a) | (part == b))
+        inside = np.where(part[own] == a, b == (a + 1) % 3, a == (b + 1) % 3)
+        links += [(int(own[i]), int(own[j])) for i, j in NT.link_block([sets[i] for i in own], 80, part[own], inside)]
+    assert roots(links) == roots(NT.link_block(sets, 80))
