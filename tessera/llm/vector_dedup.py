@@ -20,6 +20,7 @@ rows of one id are one row of the result, each of another id links with both.  E
 from __future__ import annotations
 
 import math
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -55,14 +56,17 @@ def shape(n: int, threshold: float = THRESHOLD, recall: float = RECALL, width: f
     return k, max(1, math.ceil(math.log(1 - recall) / math.log(1 - p))) if p < 1 else 1
 
 
+@cache
 def projections(dim: int, k: int, tables: int, width: float = WIDTH, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng([seed, dim, k])
     return rng.standard_normal((tables * k, dim)), rng.uniform(0, width, tables * k)
 
 
-def buckets(x: np.ndarray, label: np.ndarray, k: int, tables: int, width: float = WIDTH) -> np.ndarray:
-    """64-bit bucket of each vector in each table (rows x tables)."""
+def buckets(x: np.ndarray, label: np.ndarray, k: int, tables: int, width: float = WIDTH, first: int | None = None) -> np.ndarray:
+    """64-bit bucket of each vector in each table (rows x tables), or in the first ones alone."""
     a, b = projections(x.shape[1], k, tables, width)
+    tables = tables if first is None else first
+    a, b = a[: tables * k], b[: tables * k]
     # sums in a fixed order, whatever the rows beside: a vector has the same buckets in every task
     h = np.floor((np.einsum("ij,kj->ik", x, a) + b) / width).astype(np.int64).view(np.uint64).reshape(len(x), tables, k)
     out = mixed(label.astype(np.int64).view(np.uint64) + np.uint64(x.shape[1] * 1000003))[:, None] ^ mixed(np.arange(1, tables + 1, dtype=np.uint64))[None, :]
@@ -99,7 +103,7 @@ def _linked(x: np.ndarray, weight: np.ndarray, table: int, left: np.ndarray, rig
             new = np.unique(np.concatenate([i, j]))
             new = new[~known[new]]
             if len(new):
-                keys[new] = buckets(x[new] / norm[new][:, None], np.zeros(len(new), np.int64), k, tables)[:, :table]
+                keys[new] = buckets(x[new] / norm[new][:, None], np.zeros(len(new), np.int64), k, tables, first=table)
                 known[new] = True
         for c in range(0, len(i), 1 << 16):
             u, v = i[c : c + (1 << 16)], j[c : c + (1 << 16)]
