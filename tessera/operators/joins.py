@@ -62,12 +62,18 @@ def cascade(rows: DataFrame, steps: list[tuple[str, DataFrame, list[str]]], key:
     return rows.select(key).distinct().join(first, key, "left").select(key, F.coalesce("m.method", F.lit("none")).alias("method"), F.col("m.target").alias("target"))
 
 
-def containing(needles: DataFrame, hay: DataFrame, rare: int | None = None) -> DataFrame:
+def containing(needles: DataFrame, hay: DataFrame) -> DataFrame:
     """(needle, doc): documents that hold every term of a needle.  Both sides are postings (needle | doc, term).
-    Relational division: terms that many documents hold are joined last by counting, none is left out."""
-    need = needles.groupBy("needle").agg(F.count("*").alias("need"))
-    hits = needles.join(hay, "term").groupBy("needle", "doc").agg(F.count("*").alias("have"))
-    return hits.join(need, "needle").where(F.col("have") == F.col("need")).select("needle", "doc")
+    Relational division: a needle's rarest term gives its candidates, and only those are asked for the other terms.
+    Postings of the needles' terms are written, so that hay is made once; a needle without terms is in no document."""
+    from tessera.operators.graph import stored
+
+    own = stored(hay.select("doc", "term").join(needles.select("term").distinct(), "term", "left_semi"), "containing")
+    held = needles.join(own.groupBy("term").agg(F.count("*").alias("n")), "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rarest = held.groupBy("needle").agg(F.count("*").alias("need"), F.min_by("term", F.struct("n", "term")).alias("term"))
+    asked = rarest.join(own, "term").select("needle", "doc", "need").join(needles, "needle")
+    hits = asked.join(own, ["doc", "term"]).groupBy("needle", "doc", "need").agg(F.count("*").alias("have"))
+    return hits.where(F.col("have") == F.col("need")).select("needle", "doc")
 
 
 def redirected(links: DataFrame, rounds: int = 40) -> DataFrame:

@@ -88,10 +88,9 @@ def cascade_match(spark, sf):
     return J.cascade(items, [("exact", docs, ["t"]), ("prefix4", docs, ["p4"]), ("prefix2", docs, ["p2"])], "item_id")
 
 
-@register("jn_token_division", f"WITH n AS (SELECT item_id, unnest(list_sort(list_distinct({TOKENS_SQL}))[1:3]) AS term FROM benchmark), h AS (SELECT doc_id, unnest(list_distinct({TOKENS_SQL})) AS term FROM documents), c AS (SELECT item_id, count(*) AS need FROM n GROUP BY item_id), x AS (SELECT item_id, doc_id, count(*) AS have FROM n JOIN h USING (term) GROUP BY ALL) SELECT item_id AS needle, doc_id AS doc FROM x JOIN c USING (item_id) WHERE have = need")
+@register("jn_token_division", f"WITH n AS (SELECT item_id, unnest(list_distinct({TOKENS_SQL})) AS term FROM benchmark), h AS (SELECT doc_id, unnest(list_distinct({TOKENS_SQL})) AS term FROM documents), c AS (SELECT item_id, count(*) AS need FROM n GROUP BY item_id), x AS (SELECT item_id, doc_id, count(*) AS have FROM n JOIN h USING (term) GROUP BY ALL) SELECT item_id AS needle, doc_id AS doc FROM x JOIN c USING (item_id) WHERE have = need")
 def token_division(spark, sf):
-    own = F.slice(F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("\\p{L}{3,}"), 0))), 1, 3)
-    needles = table(spark, sf, "benchmark").select(F.col("item_id").alias("needle"), F.explode(own).alias("term"))
+    needles = P.postings(table(spark, sf, "benchmark", "item_id", "text"), "item_id", "text").withColumnRenamed("doc", "needle")
     return J.containing(needles, P.postings(table(spark, sf, "documents", "doc_id", "text"), "doc_id", "text"))
 
 

@@ -197,10 +197,12 @@ s AS (SELECT x.doc AS a, y.doc AS b, count(*) AS t1 FROM k x JOIN k y ON x.term
 g AS (SELECT doc_id, source, {tag_sql(TAGS_R)} AS r, {tag_sql(TAGS_T)} AS t FROM documents)"""
 
 
-@register("cq_pair_scores", PAIRS_SQL + " SELECT s.a, s.b, s.t1, CAST(len(list_intersect(x.r, y.r)) AS BIGINT) AS t2, CAST(len(list_intersect(x.t, y.t)) AS BIGINT) AS t3 FROM s JOIN g x ON x.doc_id = s.a JOIN g y ON y.doc_id = s.b WHERE s.a < s.b AND s.t1 >= 8")
+@register("cq_pair_scores", PAIRS_SQL + " SELECT s.a, s.b, s.t1, CAST(len(list_intersect(x.r, y.r)) AS BIGINT) AS t2, CAST(len(list_intersect(x.t, y.t)) AS BIGINT) AS t3 FROM s JOIN g x ON x.doc_id = s.a JOIN g y ON y.doc_id = s.b WHERE s.a < s.b AND 3 * s.t1 + 2 * t2 + t3 >= 4")
 def pair_scores(spark, sf):
+    """All pairs with a shared rare term and a score of 4 and more.  Pairs by tags alone are all those of two tag groups,
+    so cq_connections takes each document's best of them and nothing lists them."""
     _, both = connections(spark, sf)
-    return both.where((F.col("src") < F.col("dst")) & (F.col("t1") >= 8)).select(F.col("src").alias("a"), F.col("dst").alias("b"), "t1", "t2", "t3")
+    return both.where((F.col("src") < F.col("dst")) & (3 * F.col("t1") + 2 * F.col("t2") + F.col("t3") >= 4)).select(F.col("src").alias("a"), F.col("dst").alias("b"), "t1", "t2", "t3")
 
 
 @register("cq_connections", PAIRS_SQL + """, f AS (SELECT x.doc_id AS src, y.doc_id AS dst, coalesce(s.t1, 0) AS t1, CAST(len(list_intersect(x.r, y.r)) AS BIGINT) AS t2, CAST(len(list_intersect(x.t, y.t)) AS BIGINT) AS t3 FROM g x JOIN g y ON x.source <> y.source LEFT JOIN s ON s.a = x.doc_id AND s.b = y.doc_id),

@@ -164,11 +164,11 @@ def subsequence(spark, sf):
     return terms.select("w", F.explode(hits).alias("root")).groupBy("root").agg(F.count("*").alias("n"), F.min("w").alias("first_word"))
 
 
-@register("pf_name_validity", r"""WITH n AS (SELECT 'part' AS kind, p_name AS name FROM part UNION ALL SELECT 'customer', c_name FROM customer UNION ALL SELECT 'term', unnest(regexp_split_to_array(substr(text, 1, 200), '[ \n]+')) FROM documents)
+@register("pf_name_validity", r"""WITH n AS (SELECT 'part' AS kind, p_name AS name FROM part UNION ALL SELECT 'customer', c_name FROM customer UNION ALL SELECT 'term', unnest(regexp_split_to_array(text, '[ \n]+')) FROM documents)
 SELECT kind, coalesce(length(trim(name)) >= 3 AND regexp_matches(trim(name), '\p{L}') AND NOT regexp_matches(trim(name), '^[\d#\-]'), false) AS valid, contains(name, 'ing') AS artifact, count(*) AS n FROM n GROUP BY ALL""")
 def name_validity(spark, sf):
-    heads = table(spark, sf, "documents", "text").select(F.lit("term").alias("kind"), F.explode(F.split(F.substring("text", 1, 200), "[ \\n]+")).alias("name"))
-    names = table(spark, sf, "part").select(F.lit("part").alias("kind"), F.col("p_name").alias("name")).union(table(spark, sf, "customer").select(F.lit("customer"), "c_name")).union(heads)
+    words = table(spark, sf, "documents", "text").select(F.lit("term").alias("kind"), F.explode(F.split("text", "[ \\n]+")).alias("name"))
+    names = table(spark, sf, "part").select(F.lit("part").alias("kind"), F.col("p_name").alias("name")).union(table(spark, sf, "customer").select(F.lit("customer"), "c_name")).union(words)
     return names.groupBy("kind", T.valid_name("name").alias("valid"), (F.size(T.artifacts({"name": F.col("name")}, ("ing",))) > 0).alias("artifact")).agg(F.count("*").alias("n"))
 
 
