@@ -60,6 +60,18 @@ def test_boolean_search_falls_back_to_any(spark):
     assert P.boolean_search(p, ["zz"]).count() == 0
 
 
+def test_containing_is_set_inclusion(spark):
+    rng = random.Random(3)
+    hay = {i: set(rng.choices("abcdefgh", [9, 7, 5, 3, 2, 1, 1, 1], k=rng.randint(0, 6))) for i in range(60)}
+    needles = {i: set(rng.choices("abcdefghz", k=rng.randint(0, 3))) for i in range(30)}
+    rows = lambda sets, name: spark.createDataFrame([(i, t) for i, s in sets.items() for t in sorted(s)], f"{name} long, term string")
+    want = sorted((n, d) for n, terms in needles.items() for d, held in hay.items() if terms and terms <= held)
+    got = J.containing(rows(needles, "needle"), rows(hay, "doc"))
+    assert sorted(tuple(r) for r in got.collect()) == want and want
+    assert J.containing(rows(needles, "needle"), rows({}, "doc")).count() == 0
+    assert J.containing(rows({}, "needle"), rows(hay, "doc")).count() == 0
+
+
 def test_global_numbers(spark):
     df = spark.range(1000).select("id", (F.col("id") % 7).alias("v")).repartition(5)
     got = R.global_numbers(df, F.desc("v"), F.col("id")).orderBy("number").collect()
