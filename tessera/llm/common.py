@@ -54,7 +54,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tessera-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._tessera_path = path
+    return table
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables as written() returned them, when all that was made of them is written itself."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._tessera_path)
+        path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def by_ids(df: DataFrame, ids: DataFrame, key: str, how: str, n_ids: int | None = None) -> DataFrame:

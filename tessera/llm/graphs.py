@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import written
+from tessera.llm.common import dropped, written
 
 
 def components(links: DataFrame, name: str = "links") -> DataFrame:
     """(node, component): the least node reachable, for each node of links (a, b), any orderable type.
 
     Alternating large-star and small-star rounds; each round's links are a table in the shared folder, so
-    lost executors cost one round.  A hub's links are grouped with partial minima before the shuffle and
+    lost executors cost one round, and the round before is deleted.  A hub's links are grouped with partial minima before the shuffle and
     joined back; AQE splits a hub's partition.  Nulls and loops link nothing; no links give no rows.
     """
     pairs = links.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
@@ -26,7 +26,8 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
         # small star: each node and its smaller neighbours go to the least of those
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges = written(small.select("e.*").where(F.col("u") != F.col("v")).distinct(), name)
+        last, edges = edges, written(small.select("e.*").where(F.col("u") != F.col("v")).distinct(), name)
+        dropped(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

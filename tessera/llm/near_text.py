@@ -33,7 +33,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import M1, binary, by_ids, mixed, shingles, slices, text_bytes, word_hashes, written
+from tessera.llm.common import M1, binary, by_ids, dropped, mixed, shingles, slices, text_bytes, word_hashes, written
 from tessera.llm.graphs import Forest, components
 
 #: Most frequent shingles whose rank is broadcast (16 bytes each), and the count in a task from which they're reported.
@@ -394,12 +394,16 @@ def near_copies(docs: DataFrame, k: int = 4, t: int = 85, key: str = "doc_id", c
     facts = written(blocks.join(known, ["digest", "n"], "left"), "facts")
     own = tiled.select("token", "digest", "n").join(facts, ["digest", "n"], "left").withColumn("component", F.coalesce("known", F.xxhash64("digest", "n")))
     pairs = written(candidates(own, t), "pairs")
+    tiled.unpersist()
+    dropped(big, facts)
     ends = pairs.select(F.col("a").alias("digest"), F.col("na").alias("n")).union(pairs.select("b", "nb")).distinct()
     sets = written(arrays(docs, reps, ends, key, column, k), "sets")
-    links = inner.unionByName(checked(written(possible(pairs, sets, t), "possible"), sets, t))
+    likely = written(possible(pairs, sets, t), "possible")
+    links = inner.unionByName(checked(likely, sets, t))
 
     # components by class, named by their least document, then by document: one id may have several texts
     whole = components(edge(links), "class-links").select(F.col("node.d").alias("digest"), F.col("node.n").alias("n"), F.col("component").alias("c"))
+    dropped(inner, pairs, sets, likely)
     joined = reps.join(whole, ["digest", "n"], "left").withColumn("c", F.coalesce("c", node("digest", "n")))
     first = joined.groupBy("c").agg(F.min("rep").alias("component_id"))
     named = joined.join(first, "c").select("digest", "n", "component_id")
