@@ -161,3 +161,14 @@ def test_links_of_parts_are_those_of_the_whole():
         inside = np.where(part[own] == a, b == (a + 1) % 3, a == (b + 1) % 3)
         links += [(int(own[i]), int(own[j])) for i, j in NT.link_block([sets[i] for i in own], 80, part[own], inside)]
     assert roots(links) == roots(NT.link_block(sets, 80))
+
+
+def test_passed_tables_are_deleted_and_the_result_stays(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("tessera.llm.common.shared_dir", lambda _: str(tmp_path))
+    rows = corpus(120, 5)
+    got = NT.near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    left = [p.name.rsplit("-", 1)[0].removeprefix("tessera-") for p in tmp_path.iterdir()]
+    assert not {"big", "inner", "facts", "pairs", "sets", "possible"} & set(left)
+    assert left.count("inner-links") == left.count("class-links") == 1  # the last round's
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == naive(rows)
+    assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
