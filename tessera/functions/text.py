@@ -23,6 +23,9 @@ PROFILES = {
     "retrieval": (L.DIACRITICS, "أإآٱة", "ااااه", False),
 }
 
+#: \\b as RE2 has it: the edge of a run of ASCII letters, digits and underscores.  Java's counts letters of all scripts.
+ASCII_BOUNDARY = "(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
+
 
 def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -50,6 +53,17 @@ def words(text: Column | str, least: int = 3) -> Column:
     return F.regexp_extract_all(F.lower(col(text)), F.lit(f"\\p{{L}}{{{least},}}"), 0)
 
 
+def first_words(text: Column | str, n: int) -> Column:
+    """The first n runs of letters in lower case; reads no further into the text than they reach."""
+    head = F.regexp_extract(F.lower(col(text)), f"^(?:[^\\p{{L}}]*+\\p{{L}}++){{1,{n}}}+", 0)
+    return F.filter(F.split(head, "[^\\p{L}]+"), lambda w: w != "")
+
+
+def last_word(text: Column | str) -> Column:
+    """The last run of letters in lower case, null if there is none; read from the end."""
+    return F.nullif(F.reverse(F.regexp_extract(F.reverse(F.lower(col(text))), "^[^\\p{L}]*+(\\p{L}++)", 1)), F.lit(""))
+
+
 def tokens(text: Column | str, least: int = 3, stop=L.STOP_WORDS) -> Column:
     """Normalised letter runs of a body text, without stop words (compared after both are normalised)."""
     found = F.regexp_extract_all(strip_marks(text), F.lit("[\\u0621-\\u063A\\u0641-\\u064A]+"), 0)
