@@ -79,3 +79,12 @@ def test_merge_of_null_and_ambiguous_names(spark):
     entries = spark.createDataFrame([(10, "a b c f", 0), (11, "a b c f g", None), (12, None, 1), (13, "a b c d z", 2)], "entry_id long, name string, prio int")
     got = {r.entry_id: (r.id, r.method) for r in E.source_merge(entries, known).collect()}
     assert got == {10: (-10, "new"), 11: (-10, "prefix4"), 12: (-12, "new"), 13: (1, "prefix4")}
+
+
+def test_blocking_counts_pairs_without_listing_them(spark, tmp_path):
+    rng = random.Random(8)
+    texts = ["a b c" + "x" * rng.randrange(500) for _ in range(150)] + ["a b c" + "x" * 40] * 20 + ["a b", "a b ", "", "", None, None, "q  r s", "q  r t"]
+    rng.shuffle(texts)
+    held(spark, tmp_path, "er_blocking_pairs", "documents", [(7 * i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    plan = registry.queries()["er_blocking_pairs"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert " = block" not in plan and "id1" not in plan
