@@ -18,21 +18,65 @@ def cosine(a: Column | str, b: Column | str) -> Column:
 
 #: Queries that are held against one scan of the vectors; more go in blocks of so many.
 QUERY_BLOCK = 4096
+#: Queries and vectors whose scores are in memory at once.
+TILE = (256, 2048)
 
 
 def _unit_rows(vectors: list | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors of the rows that aren't zero, and which those are."""
+    """Unit vectors of the rows that have a length, and which those are."""
     x = np.asarray(vectors, np.float64)
     n = np.sqrt((x * x).sum(axis=1))
-    return x[n > 0] / n[n > 0][:, None], n > 0
+    ok = (n > 0) & np.isfinite(n)
+    return x[ok] / n[ok][:, None], ok
+
+
+class _Best:
+    """The k best of the vectors met so far, of each of some queries."""
+
+    def __init__(self, q: np.ndarray, unit: np.ndarray, k: int, digits: int):
+        order = np.argsort(q, kind="stable")
+        self.q, self.unit, self.k, self.digits = q[order], unit[order], k, digits
+        self.score, self.id = np.full((len(q), k), -np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
+
+    def meet(self, ids: np.ndarray, x: np.ndarray) -> None:
+        for i in range(0, len(ids), TILE[1]):
+            for j in range(0, len(self.q), TILE[0]):
+                self._tile(slice(j, j + TILE[0]), ids[i : i + TILE[1]], x[i : i + TILE[1]])
+
+    def _tile(self, at: slice, ids: np.ndarray, x: np.ndarray) -> None:
+        q, k = self.q[at], self.k
+        scores = np.round(self.unit[at] @ x.T, self.digits)
+        low, high = np.searchsorted(q, ids), np.searchsorted(q, ids, "right")
+        for n in np.flatnonzero(high > low):
+            scores[low[n] : high[n], n] = -np.inf  # a query doesn't find itself
+        least = self.score[at, -1].copy()
+        if len(ids) > k:
+            new = ~np.isfinite(least)
+            least[new] = np.maximum(least[new], np.partition(scores[new], len(ids) - k, axis=1)[:, len(ids) - k])
+        row, col = np.nonzero((scores >= least[:, None]) & np.isfinite(scores))
+        touched = np.unique(row)
+        if not len(touched):
+            return
+        rows = np.concatenate([np.repeat(touched, k), row])
+        found = np.concatenate([self.score[at][touched].ravel(), scores[row, col]])
+        named = np.concatenate([self.id[at][touched].ravel(), ids[col]])
+        order = np.lexsort((named, -found, rows))
+        rows, found, named = rows[order], found[order], named[order]
+        first = np.searchsorted(rows, touched)
+        keep = first[:, None] + np.arange(k)[None, :]
+        self.score[at.start + touched], self.id[at.start + touched] = found[keep], named[keep]
+
+    def rows(self) -> list[np.ndarray]:
+        some = np.isfinite(self.score)
+        return [np.repeat(self.q, self.k).reshape(self.score.shape)[some], self.id[some], self.score[some]]
 
 
 def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6) -> DataFrame:
     """(q, id, score, rn): each query's k best vectors by cosine, ties to the smaller id.  vectors (id, v), queries (q, qv).
 
     A stated query set against all rows: blocks of queries, of bounded size, are broadcast as unit vectors and multiplied
-    with each batch of one scan; only a batch's k best of each query go on.  Null and zero vectors find nothing, nor do
-    vectors of unlike length."""
+    with the vectors of one scan, tile by tile; of each query a task keeps its k best, and only those go on.  Null and zero
+    vectors find nothing, nor do vectors of unlike length."""
     spark = vectors.sparkSession
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     out = None
@@ -46,25 +90,16 @@ def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6
         shared = spark.sparkContext.broadcast(asked)
 
         def run(batches, shared=shared):
+            best = {dim: _Best(q, unit, k, digits) for dim, (q, unit) in shared.value.items() if len(q)}
             for batch in batches:
                 sizes = np.asarray(pc.fill_null(pc.list_value_length(batch.column("v")), -1))
-                for dim, (q, unit) in shared.value.items():
-                    own = batch.filter(pa.array(sizes == dim))
-                    if not own.num_rows or not len(q):
-                        continue
-                    x, ok = _unit_rows(np.asarray(own.column("v").flatten()).reshape(-1, dim))
-                    ids = np.asarray(own.column("id"))[ok]
-                    scores = np.round(x @ unit.T, digits)
-                    found = [[], [], []]
-                    for i in range(len(q)):
-                        mine = np.flatnonzero(ids != q[i])
-                        if len(mine) > k:
-                            least = np.partition(scores[mine, i], len(mine) - k)[len(mine) - k]
-                            mine = mine[scores[mine, i] >= least]
-                        mine = mine[np.lexsort((ids[mine], -scores[mine, i]))[:k]]
-                        for column, part in zip(found, (np.full(len(mine), q[i]), ids[mine], scores[mine, i]), strict=True):
-                            column.append(part)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in found], ["q", "id", "score"])
+                for dim, own in best.items():
+                    rows = batch.filter(pa.array(sizes == dim))
+                    if rows.num_rows:
+                        x, ok = _unit_rows(np.asarray(rows.column("v").flatten()).reshape(-1, dim))
+                        own.meet(np.asarray(rows.column("id"))[ok], x)
+            for own in best.values():
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in own.rows()], ["q", "id", "score"])
 
         scored = vectors.select("id", "v").mapInArrow(run, "q long, id long, score double")
         best = scored.withColumn("rn", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))).where(F.col("rn") <= k)

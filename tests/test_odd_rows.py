@@ -5,12 +5,14 @@ from __future__ import annotations
 import random
 
 import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
 from tessera import registry
 from tessera.functions import text as T
 from tessera.operators import entities as E
 from tessera.operators import graph as G
+from tessera.operators import retrieval as V
 from tests.oracle import same
 
 
@@ -88,3 +90,27 @@ def test_blocking_counts_pairs_without_listing_them(spark, tmp_path):
     held(spark, tmp_path, "er_blocking_pairs", "documents", [(7 * i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     plan = registry.queries()["er_blocking_pairs"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert " = block" not in plan and "id1" not in plan
+
+
+def test_vector_scores_are_held_by_tiles(spark, monkeypatch):
+    seen = []
+
+    class Noted(V._Best):
+        def _tile(self, at, ids, x):
+            seen.append(len(self.q[at]) * len(ids))
+            super()._tile(at, ids, x)
+
+    monkeypatch.setattr(V, "TILE", (3, 5))
+    rng = np.random.default_rng(4)
+    x = rng.integers(-2, 3, (40, 3)).astype(float)
+    q = np.arange(0, 40, 4)
+    ok = (x != 0).any(axis=1)
+    best = Noted(q[ok[q]], V._unit_rows(x[q])[0], 4, 6)
+    ids = rng.permutation(np.flatnonzero(ok))
+    for part in (ids[:13], ids[13:14], ids[14:]):
+        best.meet(part, V._unit_rows(x[part])[0])
+    unit = x / np.where(ok, np.sqrt((x * x).sum(axis=1)), 1)[:, None]
+    want = [(i, *r) for i in q if ok[i] for r in sorted(((-round(float(unit[i] @ unit[j]), 6), j) for j in ids if j != i))[:4]]
+    got = sorted(zip(*[c.tolist() for c in best.rows()], strict=True))
+    assert [(a, b) for a, b, _ in got] == sorted((a, j) for a, _, j in want)
+    assert max(seen) <= 15
